@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from citeloom import fixed_values as fv
 
-# Unicode white space as Python's str.strip sees it; Java's \s is ASCII only.
-SPACE = (r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
-         r"\x{202f}\x{205f}\x{3000}")
+# White space as Python's str.strip sees it; Java's \s is ASCII only.
+SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # An ASCII word with at most one inner apostrophe, or one other letter or digit.
 TOKEN = r"[a-z0-9]+(?:'[a-z0-9]+)?|[\p{L}\p{N}]"
 # Case folding that differs from lower-casing. Each of these characters is a token of its
 # own, so the replacement is set off by blanks.
-FOLDS = {"ß": "ss", "ſ": "s", "K": "k", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi",
-         "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+FOLDS = {"\u212a": "k", "\u00df": "ss", "\u017f": "s", "\ufb00": "ff", "\ufb01": "fi",
+         "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
+KELVIN = "\u212a"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -27,12 +28,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(c, F.lit(SPACES))
+
+
+def is_blank(c: Column) -> Column:
+    return strip(c) == ""
 
 
 def squeeze(c: Column) -> Column:
     """Collapse white space to single blanks and trim."""
-    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(F.translate(c, SPACES, " " * len(SPACES)), " {2,}", " "))
 
 
 def compact(c: Column, limit: int = 700) -> Column:
@@ -49,7 +54,7 @@ def snippet(c: Column, limit: int = 360) -> Column:
 
 def sentence_case(c: Column) -> Column:
     s = compact(c, 420)
-    up = F.concat(F.upper(F.substring(s, 1, 1)), F.expr("''") if False else F.substring(s, 2, 1000))
+    up = F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1000))
     return (F.when(s == "", F.lit(""))
              .when(F.substring(s, -1, 1).isin(".", "?", "!"), up)
              .otherwise(F.concat(up, F.lit("."))))
@@ -57,17 +62,17 @@ def sentence_case(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Case-folded text (kept apart from its neighbours where folding adds letters)."""
-    out = F.replace(c, F.lit("K"), F.lit(" k "))
-    out = F.translate(F.lower(out), "ςµ", "σμ")
+    # The Kelvin sign lower-cases to an ASCII letter, so it is set apart first.
+    out = F.translate(F.lower(F.replace(c, F.lit(KELVIN), F.lit(" k "))), "\u03c2\u00b5", "\u03c3\u03bc")
     for raw, folded in FOLDS.items():
-        if raw != "K":
+        if raw != KELVIN:
             out = F.replace(out, F.lit(raw), F.lit(f" {folded} "))
     return out
 
 
 def fold_plain(c: Column) -> Column:
     """Case-folded text for substring tests."""
-    return F.replace(F.translate(F.lower(c), "ςµ", "σμ"), F.lit("ß"), F.lit("ss"))
+    return F.replace(F.translate(F.lower(c), "\u03c2\u00b5", "\u03c3\u03bc"), F.lit("\u00df"), F.lit("ss"))
 
 
 def raw_words(c: Column) -> Column:
@@ -154,15 +159,15 @@ def text_blocks(c: Column, max_lines: int = fv.MAX_BLOCK_LINES) -> Column:
     """
     def split_up(lines: Column) -> Column:
         n = F.size(lines)
-        spans = let(F.transform(lines, lambda x: x.rlike(f"[^{SPACE}]")), lambda full: let(
+        spans = let(F.transform(lines, lambda x: ~is_blank(x)), lambda full: let(
             F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda at: F.arrays_zip(
                 F.filter(at, lambda i: F.get(full, i - 1) & ~F.coalesce(F.get(full, i - 2), F.lit(False))).alias("s"),
                 F.filter(at, lambda i: F.get(full, i - 1) & ~F.coalesce(F.get(full, i), F.lit(False))).alias("e"))))
         pieces = F.flatten(F.transform(spans, lambda p: F.transform(
-            F.sequence(p["0"], p["1"], F.lit(max_lines)), lambda s: F.struct(
+            F.sequence(p["s"], p["e"], F.lit(max_lines)), lambda s: F.struct(
                 s.alias("line_start"),
-                F.least(s + (max_lines - 1), p["1"]).alias("line_end"),
-                F.array_join(F.slice(lines, s, F.least(F.lit(max_lines), p["1"] - s + 1)), "\n").alias("text")))))
+                F.least(s + (max_lines - 1), p["e"]).alias("line_end"),
+                F.array_join(F.slice(lines, s, F.least(F.lit(max_lines), p["e"] - s + 1)), "\n").alias("text")))))
         whole = F.array(F.struct(F.lit(1).alias("line_start"), F.greatest(n, F.lit(1)).alias("line_end"),
                                  c.alias("text")))
         return F.when(F.size(pieces) > 0, pieces).when(c != "", whole).otherwise(F.slice(whole, 1, 0))
@@ -187,7 +192,7 @@ def plain_words(c: Column) -> Column:
 
 def overlap(words: Column, others: Column) -> Column:
     """Multiset overlap of two word arrays."""
-    return F.aggregate(F.array_distinct(words), F.lit(0), lambda acc, w: acc + F.least(
+    return F.aggregate(F.array_intersect(words, others), F.lit(0), lambda acc, w: acc + F.least(
         F.size(F.filter(words, lambda x: x == w)), F.size(F.filter(others, lambda x: x == w))))
 
 
