@@ -78,7 +78,10 @@ def assemble_paths(paths: DataFrame, vocabulary: DataFrame, glue=fv.GLUE_PREFERE
     bad = surface_decisions(flat, vocabulary).filter(~F.col("meaningful")).groupBy("path_id").agg(
         F.min_by(F.struct(F.lower("term").alias("term"), "authority"), "at").alias("_bad"))
     rows = cleaned.withColumn("_k", F.lit(1)).join(F.broadcast(usable), "_k").drop("_k").join(bad, "path_id", "left")
-    said = F.array_join("terms", F.when(joiner == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), joiner, F.lit(" "))))
+    gap = F.when(joiner == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), joiner, F.lit(" ")))
+    said = F.substring(F.aggregate("terms", F.lit("").cast("string"), lambda acc, x: F.concat(acc, F.col("_gap"), x)),
+                       F.length("_gap") + 1, F.lit(1 << 30))
+    rows = rows.withColumn("_gap", gap)
     closed = F.when(F.substring(said, -1, 1).isin(".", "?", "!"), said).otherwise(F.concat(said, F.lit(".")))
     cited = F.array_distinct(F.filter("citations", lambda c: c != ""))
     none = F.size("terms") == 0

@@ -33,12 +33,16 @@ def file_stream(spark: SparkSession, path: str, *, max_files: int | None = None,
 
 
 def table_stream(spark: SparkSession, path: str, *, key: str, text: str, prefix: str, max_files: int | None = None) -> DataFrame:
-    """Rows of a growing Parquet folder as a stream of documents."""
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+    """Rows of a growing Parquet folder as a stream of documents. ``path`` is the folder, or a
+    pattern inside it such as ``folder/part-*.parquet``."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    pattern = name if name.endswith(".parquet") else "*.parquet"
+    base = folder if name.endswith(".parquet") else path
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(base).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path).select(
+    return reader.parquet(base).select(
         F.col(key).alias("source_key"), F.concat(F.lit(prefix + "/"), F.col(key).cast("string")).alias("source_path"),
         F.col(text).alias("text"), F.length(text).cast("bigint").alias("file_bytes"))
 
