@@ -238,7 +238,7 @@ def oracle_sql() -> dict[str, str]:
     out["symbol_collisions"] = _docs(final="SELECT count(*) AS anchors, count(DISTINCT left(sha1(anchor), 12)) AS symbols FROM cnt")
     out["relation_counts"] = _docs(s.relations(), final="SELECT anchor, neighbor, off AS \"offset\", observations FROM rel")
     out["relation_totals"] = _docs(s.relations(), "n AS (SELECT block_ordinal, position, max(position) OVER (PARTITION BY block_ordinal) AS last FROM post)",
-                                   final="""SELECT t.block_ordinal, CAST(coalesce(sum(least(6, position) + least(6, last - position)), 0) AS BIGINT) AS relation_observations
+                                   final="""SELECT t.block_ordinal, CAST(coalesce(sum(CASE WHEN position IS NOT NULL THEN least(6, position) + least(6, last - position) END), 0) AS BIGINT) AS relation_observations
         FROM t LEFT JOIN n USING (block_ordinal) GROUP BY 1""")
     out["pair_totals"] = _chat(s.relations(), final="""SELECT r.anchor, r.neighbor, CAST(sum(r.observations) AS BIGINT) AS observations, any_value(c.observations) AS neighbor_observations
         FROM rel r JOIN cnt c ON c.anchor = r.neighbor GROUP BY 1, 2""")
@@ -360,7 +360,11 @@ xl AS (SELECT l.question_id, l.citation AS fc, l.line_start AS fs, l.line_end AS
         coalesce(authority, 'not_allowed') AS authority, CASE WHEN forbidden THEN 'forbidden_claim_term' WHEN is_glue THEN 'allowed_glue' WHEN meaningful THEN 'observed_anchor'
         WHEN can_emit THEN 'allowed_surface' ELSE 'not_observed_and_not_glue' END AS reason FROM cnt c LEFT JOIN v ON v.term = c.anchor"""
     out["assembled_paths"] = s.with_(*vocab, f"""
-ap AS (SELECT 'documents/' || doc_id AS path_id, {s.tokens('text')} AS toks FROM documents), a1 AS (SELECT path_id, {MAJOR('toks')}[1:2] AS terms FROM ap),
+ap AS (SELECT path_id, unnest(toks) AS term, unnest(range(len(toks))) AS pos FROM (SELECT 'documents/' || doc_id AS path_id, {s.tokens('text')} AS toks FROM documents)),
+aq AS (SELECT path_id, term, min(pos) AS pos FROM ap WHERE length(term) >= 3 AND term NOT IN ({s.quoted(fv.MAJOR_BLOCKED)}) AND regexp_matches(term, '\\p{{L}}') GROUP BY 1, 2),
+ar AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY pos) AS r FROM aq),
+a1 AS (SELECT 'documents/' || d.doc_id AS path_id, coalesce(list(term ORDER BY pos) FILTER (term IS NOT NULL), []) AS terms FROM documents d
+  LEFT JOIN (SELECT * FROM ar WHERE r <= 2) x ON x.path_id = 'documents/' || d.doc_id GROUP BY 1),
 a2 AS (SELECT path_id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM a1),
 bad AS (SELECT path_id, first(term ORDER BY pos) AS term FROM a2 LEFT JOIN v USING (term) WHERE NOT coalesce(meaningful, false) GROUP BY 1)""") + f"""
 SELECT path_id, CASE WHEN len(terms) = 0 THEN 'not_enough_evidence' WHEN bad.term IS NOT NULL THEN 'refused_unsupported_surface' ELSE 'assembled_from_anchor_path' END AS status,
