@@ -12,7 +12,6 @@ from citeloom.functions import text as tx
 from citeloom.session import materialise, shuffle_partitions
 
 CARRY_SPAN = 4096
-ORDINAL_RANGE = 1 << 20
 
 
 def split_documents(docs: DataFrame, *, max_lines: int = fv.MAX_BLOCK_LINES, id_prefix: str = "CIT") -> DataFrame:
@@ -32,25 +31,27 @@ def split_documents(docs: DataFrame, *, max_lines: int = fv.MAX_BLOCK_LINES, id_
                .withColumn("text_hash", F.sha1(F.col("text").cast("binary"))))
 
 
-def assign_ordinals(df: DataFrame, order: list[str], name: str = "ordinal", start: int = 0) -> DataFrame:
+def assign_ordinals(df: DataFrame, order: list[str], name: str = "ordinal", start: int = 0,
+                    range_name: str | None = None) -> DataFrame:
     """Dense 0-based ordinals in a global order without a single-task sort.
 
     A range exchange on the whole order key sorts the rows over many tasks (a hot source is
-    cut between its blocks). The sorted rows are written once, so both passes below see the
-    same partitions; the second pass adds one offset per partition, a table as short as the
-    partition count.
+    cut between its blocks). The sorted rows are written once, one folder per range, so both
+    passes below see the same rows; the second pass adds one offset per range, a table as
+    short as the partition count. ``range_name`` keeps the range as a column: it is the
+    table's partition column, so a join on it reads only the ranges it needs.
     """
     n = shuffle_partitions(df.sparkSession)
-    placed = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                .withColumn("_at", F.monotonically_increasing_id()))
-    placed = materialise(placed, "ordered")
-    part = F.shiftright("_at", 33)
-    offsets = (placed.groupBy(part.alias("_part")).count()
+    placed = (df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+              .sortWithinPartitions("_part", *order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = materialise(placed, "ordered", "_part")
+    offsets = (placed.groupBy("_part").count()
                .withColumn("_offset", F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
                .select("_part", F.coalesce("_offset", F.lit(0)).alias("_offset")))
-    return (placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-            .withColumn(name, F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1) + F.lit(start))
-            .drop("_part", "_offset", "_at"))
+    offsets = materialise(offsets, "offsets")
+    out = placed.join(F.broadcast(offsets), "_part").withColumn(
+        name, F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1) + F.lit(start)).drop("_offset", "_at")
+    return out.withColumnRenamed("_part", range_name) if range_name else out.drop("_part")
 
 
 def with_headers(blocks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom import fixed_values as fv
 from citeloom.functions import text as tx
+from citeloom.session import spread
 
 
 def postings(terms: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def anchor_counts(terms: DataFrame) -> DataFrame:
 def anchor_counts_of_text(docs: DataFrame, text: str = "text", stop=fv.STOP_TERMS) -> DataFrame:
     """Term counts straight from text: count raw words first, normalise each distinct word
     once, then fold the counts together. Same result as counting normalised terms."""
-    words = (docs.select(F.explode(tx.raw_words(F.col(text))).alias("word")).groupBy("word")
+    words = (spread(docs.select(text)).select(F.explode(tx.raw_words(F.col(text))).alias("word")).groupBy("word")
              .agg(F.count("*").alias("n")).filter(~F.col("word").isin(list(stop))))
     return (words.select("n", F.explode(tx.word_anchors(F.col("word"))).alias("anchor")).groupBy("anchor")
             .agg(F.sum("n").alias("observations")))
@@ -73,10 +74,16 @@ def mirror(ahead: DataFrame) -> DataFrame:
 
 def pair_totals(relations: DataFrame, counts: DataFrame) -> DataFrame:
     """Neighbour totals over all offsets, with the neighbour's own observations beside them
-    (2·window times those bound any total the neighbour can reach)."""
+    (2·window times those bound any total the neighbour can reach). Totals are symmetric, so
+    only later neighbours are summed, under one key for both directions, and then mirrored."""
+    a, b = F.least("anchor", "neighbor").alias("a"), F.greatest("anchor", "neighbor").alias("b")
+    once = relations.filter(F.col("offset") > 0).groupBy(a, b).agg(F.sum("observations").alias("n"))
+    row = lambda x, y, n: F.struct(F.col(x).alias("anchor"), F.col(y).alias("neighbor"), n.alias("observations"))
+    both = F.when(F.col("a") == F.col("b"), F.array(row("a", "b", F.col("n") * 2))).otherwise(
+        F.array(row("a", "b", F.col("n")), row("b", "a", F.col("n"))))
     own = counts.select(F.col("anchor").alias("neighbor"), F.col("observations").alias("neighbor_observations"))
-    return (relations.groupBy("anchor", "neighbor").agg(F.sum("observations").alias("observations"))
-            .join(own, "neighbor").select("anchor", "neighbor", "observations", "neighbor_observations"))
+    return once.select(F.explode(both).alias("r")).select("r.*").join(own, "neighbor").select(
+        "anchor", "neighbor", "observations", "neighbor_observations")
 
 
 def relation_total(n: Column, window: int = fv.RELATION_WINDOW) -> Column:

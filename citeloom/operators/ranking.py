@@ -30,7 +30,6 @@ class QuestionBatch:
     questions: DataFrame
     seeds: DataFrame
     small: bool
-    max_seeds: int
 
 
 def question_batch(questions: DataFrame, stop=fv.STOP_TERMS, max_seeds: int = BROADCAST_SEEDS) -> QuestionBatch:
@@ -41,8 +40,7 @@ def question_batch(questions: DataFrame, stop=fv.STOP_TERMS, max_seeds: int = BR
         tx.expand(F.col("_words"), stop).alias("seed_terms"))
     prepared = materialise(prepared, "questions")
     seeds = seed_rows(prepared, "seed_terms")
-    most = prepared.agg(F.max(F.size("seed_terms"))).head()[0] or 0
-    return QuestionBatch(prepared, seeds, at_most(seeds, max_seeds), most)
+    return QuestionBatch(prepared, seeds, at_most(seeds, max_seeds))
 
 
 def seed_rows(prepared: DataFrame, column: str) -> DataFrame:
@@ -56,24 +54,30 @@ def relation_neighbors(pairs: DataFrame, batch: QuestionBatch, *, stop=fv.STOP_T
     code point.
 
     Frequent seeds have most of the vocabulary as neighbours, so rows that cannot reach the
-    list are dropped before they are multiplied by the questions. If a question has S seeds,
-    the (limit + S)-th neighbour of any one seed bounds the last list entry from below, for
-    at most S of the rows above it are seeds; a neighbour seen n times can total at most
-    2·window·n. The cut is exact.
+    list are dropped before they are multiplied by the questions. If a question has S seeds
+    and one of them has at least limit + S neighbours of v observations or more, then v bounds
+    the last list entry from below, for at most S of those rows are seeds. The bound is read
+    from a histogram by powers of two. A neighbour seen n times can total at most 2·window·n.
+    The cut is exact.
     """
     small = batch.small
     ask = batch.seeds.select("question_id", "anchor")
+    near = pairs.filter(~F.col("neighbor").isin(list(stop)))
     used = ask.select("anchor").distinct()
-    near = pairs.filter(~F.col("neighbor").isin(list(stop))).join(broadcast_if(used, small), "anchor", "left_semi")
-    strongest = W.partitionBy("anchor").orderBy(F.desc("observations"))
-    tops = (near.select("anchor", "observations").withColumn("at", F.row_number().over(strongest))
-            .filter(F.col("at") <= limit + batch.max_seeds))
+    level = F.floor(F.log2("observations")).cast("int")
+    histogram = (near.join(broadcast_if(used, small), "anchor", "left_semi").groupBy("anchor", level.alias("level"))
+                 .agg(F.count("*").alias("n")))
+    down = W.partitionBy("anchor").orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, 0)
+    reach = histogram.withColumn("reach", F.sum("n").over(down))
     sized = ask.join(ask.groupBy("question_id").agg(F.count("*").alias("seeds")), "question_id")
-    floors = (tops.join(broadcast_if(sized, small), "anchor").filter(F.col("at") == F.col("seeds") + limit)
-              .groupBy("question_id").agg(F.max("observations").alias("floor")))
+    floors = (reach.join(broadcast_if(sized, small), "anchor").filter(F.col("reach") >= F.col("seeds") + limit)
+              .groupBy("question_id").agg(F.max(F.pow(F.lit(2.0), "level")).alias("floor")))
     ask = ask.join(broadcast_if(floors, small), "question_id", "left").na.fill(0, ["floor"])
-    kept = near.join(broadcast_if(ask, small), "anchor").filter(
-        F.col("neighbor_observations") * (2 * window) >= F.col("floor"))
+    ask = materialise(ask, "floors")
+    can_reach = F.col("neighbor_observations") * (2 * window)
+    lowest = ask.groupBy("anchor").agg(F.min("floor").alias("lowest"))
+    near = near.join(broadcast_if(lowest, small), "anchor").filter(can_reach >= F.col("lowest"))
+    kept = near.join(broadcast_if(ask, small), "anchor").filter(can_reach >= F.col("floor"))
     scored = kept.groupBy("question_id", "neighbor").agg(
         F.sum("observations").alias("score"), F.min("anchor").alias("first_anchor"))
     own = batch.seeds.select("question_id", F.col("anchor").alias("neighbor"))
@@ -110,12 +114,12 @@ def score_blocks(terms: DataFrame, weights: DataFrame, small: bool) -> DataFrame
     """Score of every (question, block) that holds a weighted term; each term counts once per
     block. ``terms`` is bucketed by block, so with a broadcast weight side this grouping runs
     where the blocks lie, with no exchange."""
-    hits = terms.select("block_ordinal", "n_terms", F.explode(F.array_distinct("terms")).alias("anchor")).join(
+    hits = terms.select("block_ordinal", "ordinal_range", "n_terms", F.explode(F.array_distinct("terms")).alias("anchor")).join(
         broadcast_if(weights, small), "anchor")
-    summed = hits.groupBy("block_ordinal", "n_terms", "question_id").agg(
+    summed = hits.groupBy("block_ordinal", "ordinal_range", "n_terms", "question_id").agg(
         F.sum("fixed_weight").alias("fixed_score"), F.sum("direct").alias("direct_hit_count"))
     score = F.col("fixed_score").cast("double") / F.lit(FIXED_POINT)
-    return summed.select("question_id", "block_ordinal", "n_terms", "direct_hit_count", score.alias("score"),
+    return summed.select("question_id", "block_ordinal", "ordinal_range", "n_terms", "direct_hit_count", score.alias("score"),
                          (score / F.greatest(F.lit(1.0), F.sqrt("n_terms"))).alias("density"))
 
 
@@ -145,13 +149,10 @@ def rank_of(scored: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
 def fetch_candidates(top: DataFrame, blocks: DataFrame, weights: DataFrame, small: bool, stop=fv.STOP_TERMS) -> DataFrame:
     """Text, coordinates and matched terms for ranked blocks only. The join also carries the
     blocks table's partition column, so ranges without candidates are not read."""
-    from citeloom.operators.blocks import ORDINAL_RANGE
-
     held = weights.groupBy("question_id").agg(
         F.sort_array(F.collect_set("anchor")).alias("_all"),
         F.sort_array(F.collect_set(F.when(F.col("direct") == 1, F.col("anchor")))).alias("_direct"))
-    wanted = top.withColumn("ordinal_range", F.floor(F.col("block_ordinal") / ORDINAL_RANGE))
-    rows = blocks.join(broadcast_if(wanted, small), ["ordinal_range", "block_ordinal"]).join(
+    rows = blocks.join(broadcast_if(top, small), ["ordinal_range", "block_ordinal"]).join(
         broadcast_if(held, small), "question_id")
     rows = rows.withColumn("block_terms", F.array_distinct(tx.anchors(F.col("text"), stop)))
     meta = ["chat_metadata"] if "chat_metadata" in blocks.columns else []

@@ -12,15 +12,15 @@ from citeloom import fixed_values as fv
 from citeloom.functions import text as tx
 from citeloom.operators import blocks as bl
 from citeloom.operators import counts as ct
-from citeloom.session import materialise, materialise_bucketed, new_location
+from citeloom.session import materialise, materialise_bucketed, new_location, spread
 
 
 @dataclass
 class CorpusIndex:
     """Tables of one dataset. ``terms`` is bucketed by block, so per-block grouping needs no
     exchange; ``blocks`` is partitioned by ordinal range, so fetching a few blocks prunes;
-    counts and relations are range-sorted by anchor, which cuts hot anchors over many files
-    and lets a lookup skip the rest."""
+    counts, relations and pairs are spread by hash of their whole key and sorted inside each
+    file, so a hot anchor lies in every file and a lookup skips row groups."""
 
     spark: SparkSession
     dataset_id: str
@@ -68,17 +68,15 @@ def block_rows(docs: DataFrame, *, headers: bool = False, id_prefix: str = "CIT"
 def build_index(docs: DataFrame, dataset_id: str = "default", *, headers: bool = False,
                 window: int = fv.RELATION_WINDOW, stop=fv.STOP_TERMS, id_prefix: str = "CIT") -> CorpusIndex:
     spark = docs.sparkSession
-    rows = bl.assign_ordinals(block_rows(docs, headers=headers, id_prefix=id_prefix),
-                              ["source_key", "block_index"], "block_ordinal")
-    rows = rows.withColumn("ordinal_range", F.floor(F.col("block_ordinal") / bl.ORDINAL_RANGE))
+    rows = bl.assign_ordinals(block_rows(spread(docs), headers=headers, id_prefix=id_prefix),
+                              ["source_key", "block_index"], "block_ordinal", range_name="ordinal_range")
     meta = ["chat_metadata"] if "chat_metadata" in rows.columns else []
-    blocks = materialise(rows.select(
+    blocks = rows.select(
         "block_ordinal", "block_id", "source_path", "line_start", "line_end", "text", "citation_id", "marker",
-        "text_hash", *meta, "ordinal_range"), "blocks", "ordinal_range")
+        "text_hash", *meta, "ordinal_range")
     words = F.col("tokens") if "tokens" in rows.columns else tx.anchors(F.col("text"), stop)
-    terms = rows.select("block_ordinal", words.alias("terms"))
-    terms = materialise_bucketed(terms.select("block_ordinal", "terms", F.size("terms").cast("bigint").alias("n_terms")),
-                                 "terms", "block_ordinal")
+    terms = rows.select("block_ordinal", "ordinal_range", words.alias("terms"))
+    terms = materialise_bucketed(terms.withColumn("n_terms", F.size("terms").cast("bigint")), "terms", "block_ordinal")
     return CorpusIndex(spark, dataset_id, blocks, terms, window, tuple(stop))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom import fixed_values as fv
 from citeloom.functions import text as tx
+from citeloom.session import spread
 
 MODES = ("DESTRUCTIVE_COMMAND_LOCK", "AMBIGUITY_MODE", "VENT_MODE", "SYSTEM_COMMAND_MODE", "EVIDENCE_AUDIT_MODE", "TASK_MODE")
 MODE_NOTES = {
@@ -38,7 +39,7 @@ def ratio(n: Column, divisor: int) -> Column:
 def route_messages(messages: DataFrame, text: str = "text", groups: dict | None = None) -> DataFrame:
     """Adds groups, scores, structure flags, mode and rule to each message; row-local."""
     groups = groups or fv.ROUTING_GROUPS
-    rows = messages.withColumn("_low", F.lower(text))
+    rows = spread(messages).withColumn("_low", F.lower(text))
     rows = rows.select(*messages.columns, *[phrases_present(F.col("_low"), p).alias(g) for g, p in groups.items()])
     n = lambda g: F.size(g)
     rows = (rows.withColumn("anger", ratio(n("affect"), 3)).withColumn("urgency_score", ratio(n("urgency"), 2))

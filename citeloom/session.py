@@ -71,3 +71,15 @@ def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
 def at_most(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
     return df.limit(rows + 1).count() <= rows
+
+
+SMALL_TASK_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input too small to be read in as many splits. The size is the
+    optimizer's own estimate; an input with enough splits is left as it is read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_TASK_BYTES else df

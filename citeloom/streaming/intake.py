@@ -15,6 +15,7 @@ from citeloom import fixed_values as fv
 from citeloom.functions import text as tx
 from citeloom.operators import blocks as bl
 from citeloom.operators import counts as ct
+from citeloom.session import spread
 
 
 def file_stream(spark: SparkSession, path: str, *, max_files: int | None = None, max_bytes: str | None = None,
@@ -55,7 +56,7 @@ def write_batch(batch: DataFrame, batch_id: int, root: str, *, window: int, stop
     (batch.filter(bad).select("source_path", "file_bytes", F.when(F.col("text").isNull(), F.lit("unreadable"))
                               .otherwise(F.lit("over_size_limit")).alias("reason"))
      .write.mode("overwrite").parquet(f"{root}/rejected/{part}"))
-    rows = bl.split_documents(batch.filter(~bad).drop("file_bytes"))
+    rows = bl.split_documents(spread(batch.filter(~bad).drop("file_bytes")))
     # tokenised once per batch, into the batch's own folder; everything else reads it back
     (rows.select("source_path", "block_index", "block_id", "line_start", "line_end", tx.anchors(F.col("text"), stop).alias("terms"))
      .write.mode("overwrite").parquet(f"{root}/terms/{part}"))
