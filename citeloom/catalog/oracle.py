@@ -132,11 +132,11 @@ cl AS MATERIALIZED (SELECT * FROM (SELECT anchor, off, neighbor, observations, r
 def _frames() -> str:
     """Both passes as one question list: pass 1 with the question's seeds, pass 2 with the
     mirror's seeds added."""
-    mirror = f"SELECT item_id AS question_id, left(text, 80) AS question FROM benchmark"
     return s.with_(s.blocks(s.DOCS), s.relations(), f"""
-a0 AS (SELECT item_id AS qid, {s.tokens('text')} AS toks, {s.tokens('left(text, 80)')} AS mtoks FROM benchmark),
-a1 AS (SELECT qid, {s.expanded('toks')} AS ex, {s.expanded('mtoks')} AS mex FROM a0),
-a2 AS (SELECT qid, 1 AS ps, ex FROM a1 UNION ALL SELECT qid, 2, ex || mex FROM a1),
+a0 AS (SELECT b.item_id AS qid, {s.tokens('b.text')} AS toks, m.text IS NOT NULL AS mirrored, {s.tokens("coalesce(m.text, '')")} AS mtoks
+  FROM benchmark b LEFT JOIN benchmark m ON m.item_id = b.item_id + 1),
+a1 AS (SELECT qid, mirrored, {s.expanded('toks')} AS ex, {s.expanded('mtoks')} AS mex FROM a0),
+a2 AS (SELECT qid, 1 AS ps, ex FROM a1 UNION ALL SELECT qid, 2, ex || mex FROM a1 WHERE mirrored),
 a3 AS (SELECT qid * 10 + ps AS question_id, {s.ordered_distinct('ex')} AS seeds FROM a2),
 sd AS MATERIALIZED (SELECT question_id, unnest(seeds) AS anchor, unnest(range(len(seeds))) AS seed_at FROM a3)""", _cloud(), f"""
 nb0 AS (SELECT s.question_id, c.neighbor, sum(c.observations) AS score, min([s.seed_at, c.off, c.cloud_rank]) AS met FROM cl c JOIN sd s USING (anchor) GROUP BY 1, 2),
@@ -347,10 +347,10 @@ xl AS (SELECT l.question_id, l.citation AS fc, l.line_start AS fs, l.line_end AS
     out["evidence_frames"] = frames + """ SELECT qid AS question_id, pass, candidate_rank AS frame_rank, block_ordinal, citation, score, density_score, coalesce(windows, '') AS windows FROM fr"""
     out["surface_answers"] = frames + f""" SELECT b.item_id AS question_id, CASE WHEN ps = 'mirror_answer_starter' THEN 'answered_from_supplied_answer_and_evidence'
         WHEN ps = 'question' THEN 'answered_from_evidence' ELSE 'not_enough_evidence' END AS status,
-        CASE WHEN ps IS NULL THEN '{NO_FRAMES}' ELSE CASE WHEN ps = 'question' THEN {_sentence_case('first_text')} ELSE {_sentence_case('left(b.text, 80)')} END
+        CASE WHEN ps IS NULL THEN '{NO_FRAMES}' ELSE CASE WHEN ps = 'question' THEN {_sentence_case('first_text')} ELSE {_sentence_case('m.text')} END
           || ' ' || array_to_string(cites[1:3], ' ') END AS answer, coalesce(array_to_string(cites[1:3], '|'), '') AS citations, ps AS evidence_pass,
         CASE WHEN ps IS NULL THEN 'none' WHEN ps = 'question' THEN 'top_evidence_text' ELSE 'supplied_answer' END AS surface_source
-        FROM benchmark b LEFT JOIN (SELECT qid, pass AS ps, list(citation ORDER BY candidate_rank) AS cites, first(text ORDER BY candidate_rank) AS first_text,
+        FROM benchmark b LEFT JOIN benchmark m ON m.item_id = b.item_id + 1 LEFT JOIN (SELECT qid, pass AS ps, list(citation ORDER BY candidate_rank) AS cites, first(text ORDER BY candidate_rank) AS first_text,
           row_number() OVER (PARTITION BY qid ORDER BY pass) AS r FROM fr GROUP BY qid, pass) f ON f.qid = b.item_id AND f.r = 1"""
 
     vocab = (s.blocks(s.CHAT, "v"), _vocabulary())

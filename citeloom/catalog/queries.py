@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +29,6 @@ from citeloom.plans import rounds as rd
 from citeloom.plans import routing as rt
 from citeloom.plans import watch as wt
 from citeloom.session import materialise, new_location
-from citeloom.sources import corpus
 from citeloom.sources import transcripts as tr
 from citeloom.streaming import intake
 
@@ -435,7 +432,9 @@ def hits_per_phrase(t: Tables) -> DataFrame:
 
 def _spoken(t: Tables) -> fp.Spoken:
     if not hasattr(t, "_spoken"):
-        asked = t.questions.withColumn("mirror_starter", F.substring("question", 1, 80))
+        # the next benchmark text serves as a question's answer starter; the last one has none
+        starter = t.questions.select((F.col("question_id") - 1).alias("question_id"), F.col("question").alias("mirror_starter"))
+        asked = t.questions.join(starter, "question_id", "left")
         t._spoken = fp.speak(t.docs, asked)
     return t._spoken
 
@@ -527,7 +526,7 @@ def preflight_common_terms(t: Tables) -> DataFrame:
 def term_suggestions(t: Tables) -> DataFrame:
     """Terms of the conversations that the documents lack, with their nearest document term."""
     absent = t.chat.counts.select("anchor").join(t.docs.counts, "anchor", "left_anti")
-    return suggest.suggest_anchors(absent, t.docs.counts, small=False).withColumn("fit_score", tx.round_to(F.col("fit_score"), 6))
+    return suggest.suggest_anchors(absent, t.docs.counts).withColumn("fit_score", tx.round_to(F.col("fit_score"), 6))
 
 
 def _comparison(t: Tables) -> DataFrame:
@@ -557,8 +556,8 @@ def reformed_answers(t: Tables) -> DataFrame:
 
 def _rounds(t: Tables) -> rd.Rounds:
     if not hasattr(t, "_rounds"):
-        seeds = t.questions.select(F.col("question_id").alias("seed_at"), "question").orderBy("seed_at").limit(12)
-        t._rounds = rd.run_rounds(t.chat, seeds, vocabulary=materialise(vc.build_vocabulary(t.chat.lexicon), "vocabulary"), max_records=24)
+        seeds = t.questions.select(F.col("question_id").alias("seed_at"), "question")
+        t._rounds = rd.run_rounds(t.chat, seeds, vocabulary=materialise(vc.build_vocabulary(t.chat.lexicon), "vocabulary"))
     return t._rounds
 
 

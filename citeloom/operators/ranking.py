@@ -72,17 +72,20 @@ def relation_neighbors(pairs: DataFrame, batch: QuestionBatch, *, stop=fv.STOP_T
     sized = ask.join(ask.groupBy("question_id").agg(F.count("*").alias("seeds")), "question_id")
     floors = (reach.join(broadcast_if(sized, small), "anchor").filter(F.col("reach") >= F.col("seeds") + limit)
               .groupBy("question_id").agg(F.max(F.pow(F.lit(2.0), "level")).alias("floor")))
-    ask = ask.join(broadcast_if(floors, small), "question_id", "left").na.fill(0, ["floor"])
+    # a seed's place by code point stands for the seed in tie breaks: a number keeps the
+    # aggregation below hash-based, a string minimum would make it sort
+    place = F.row_number().over(W.partitionBy("question_id").orderBy("anchor"))
+    ask = (ask.withColumn("seed_place", place).join(broadcast_if(floors, small), "question_id", "left").na.fill(0, ["floor"]))
     ask = materialise(ask, "floors")
     can_reach = F.col("neighbor_observations") * (2 * window)
     lowest = ask.groupBy("anchor").agg(F.min("floor").alias("lowest"))
     near = near.join(broadcast_if(lowest, small), "anchor").filter(can_reach >= F.col("lowest"))
     kept = near.join(broadcast_if(ask, small), "anchor").filter(can_reach >= F.col("floor"))
     scored = kept.groupBy("question_id", "neighbor").agg(
-        F.sum("observations").alias("score"), F.min("anchor").alias("first_anchor"))
+        F.sum("observations").alias("score"), F.min("seed_place").alias("first_seed"))
     own = batch.seeds.select("question_id", F.col("anchor").alias("neighbor"))
     scored = scored.join(broadcast_if(own, small), ["question_id", "neighbor"], "left_anti")
-    order = W.partitionBy("question_id").orderBy(F.desc("score"), "first_anchor", "neighbor")
+    order = W.partitionBy("question_id").orderBy(F.desc("score"), "first_seed", "neighbor")
     return (scored.withColumn("neighbor_rank", F.row_number().over(order))
             .filter(F.col("neighbor_rank") <= limit)
             .select("question_id", "neighbor", "score", "neighbor_rank"))

@@ -4,7 +4,6 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from citeloom import fixed_values as fv
 from citeloom.operators import answers as an

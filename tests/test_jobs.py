@@ -118,7 +118,7 @@ def test_suggestions_equal_brute_force(spark):
                     for r in [SequenceMatcher(None, w, c).ratio()] if r >= 0.86), default=None)
         if best:
             want[w] = best[1]
-    got = {r.anchor: r.suggested_anchor for r in suggest.suggest_anchors(a, k, small=True).collect()}
+    got = {r.anchor: r.suggested_anchor for r in suggest.suggest_anchors(a, k).collect()}
     assert want and got == want
 
 
