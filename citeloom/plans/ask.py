@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,20 +29,27 @@ class Ranking:
 
 @dataclass
 class Packets:
-    """Everything a batch of questions yields, each table keyed by ``question_id``."""
+    """Everything a batch of questions yields, each table keyed by ``question_id``; answers and
+    ladder are built when first asked for."""
 
     ranking: Ranking
     candidates: DataFrame
     qualified: DataFrame
     locations: DataFrame
     rejected: DataFrame
-    answers: DataFrame
-    ladder: DataFrame
 
     @property
     def questions(self) -> DataFrame:
         return self.ranking.batch.questions
 
+    @cached_property
+    def answers(self) -> DataFrame:
+        return materialise(an.cited_answers(self.locations, self.questions), "answers")
+
+    @cached_property
+    def ladder(self) -> DataFrame:
+        return an.support_ladder(self.locations, self.answers, self.questions)
+
 
 def rank_blocks(index: CorpusIndex, questions: DataFrame, *, created_after=None, created_before=None,
                 speaker: str | None = None) -> Ranking:
@@ -77,8 +85,7 @@ def ask(index: CorpusIndex, questions: DataFrame, *, top_k: int = 5, created_aft
     qualified = materialise(gate.qualify(found, asked, top_k=top_k, small=ranked.batch.small, stop=index.stop), "qualified")
     locations = qualified.filter(F.col("location_rank").isNotNull())
     rejected = qualified.filter(F.col("rejected_rank").isNotNull())
-    answers = materialise(an.cited_answers(locations, asked), "answers")
-    return Packets(ranked, found, qualified, locations, rejected, answers, an.support_ladder(locations, answers, asked))
+    return Packets(ranked, found, qualified, locations, rejected)
 
 
 def one_question(index: CorpusIndex, question: str, **options) -> Packets:
