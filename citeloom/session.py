@@ -24,14 +24,19 @@ def build_session(app: str = "citeloom", cpus: int | str = "*", **conf: str) ->
     return builder.getOrCreate()
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables: the one the cluster names in
     ``spark.checkpoint.dir``, or a fresh local folder where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own_dirs[app]
 
 
 def new_location(spark: SparkSession, name: str) -> str:
