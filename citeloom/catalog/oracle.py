@@ -248,6 +248,10 @@ def oracle_sql() -> dict[str, str]:
         (SELECT count(DISTINCT source_path) FROM b) AS source_file_count""")
     out["source_receipt"] = _docs(final="SELECT source_path, count(*) AS block_count FROM b GROUP BY 1")
 
+    out["dataset_status"] = _docs(s.relations(), final="""SELECT 'blocks' AS table_name, count(*) AS row_count FROM b UNION ALL SELECT 'terms', count(*) FROM t
+        UNION ALL SELECT 'counts', count(*) FROM cnt UNION ALL SELECT 'lexicon', count(*) FROM cnt UNION ALL SELECT 'relations', count(*) FROM rel
+        UNION ALL SELECT 'pairs', count(*) FROM (SELECT DISTINCT anchor, neighbor FROM rel)""")
+
     out["lexicon_search"] = _docs(f"lx AS ({LEX})", final="""SELECT * FROM lx WHERE (contains(anchor, 'tion') OR contains(lower(symbol), 'tion')) AND starts_with(anchor, 'e')
         ORDER BY anchor LIMIT 1000""")
     out["anchor_detail"] = _docs(f"lx AS ({LEX})", final="SELECT * FROM lx WHERE anchor = 'than'")
