@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import mixing, url_templates
+from citeloom.llm import mixing, quality, url_templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,3 +33,8 @@ def op8_url_templates(spark: SparkSession, root: str) -> DataFrame:
 def op9_source_mix(spark: SparkSession, root: str) -> DataFrame:
     rows = mixing.sized(read(spark, root, "documents"), read(spark, root, "labels"))
     return mixing.mix(rows).select("doc_id", "source", "size", "source_size", "target", "taken", "epochs")
+
+
+@query
+def op10_quality(spark: SparkSession, root: str) -> DataFrame:
+    return quality.classify(read(spark, root, "documents"), read(spark, root, "labels"))
