@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.tasks import group_arrow, map_arrow
 from citeloom.llm.words import Interned, pieces, utf8
 
 #: Bound of the labelled sample that the model is fitted on; every document is scored.
@@ -86,7 +87,7 @@ def fit(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS, settings: Settin
         w = train_ftrl(utf8(table.column("text").combine_chunks()), table.column("label").to_pylist(), settings)
         return pa.table({"weights": pa.array([w.tobytes()], pa.binary())})
 
-    row = chosen.groupBy(F.lit(0).alias("_all")).applyInArrow(train, "weights binary").first()
+    row = group_arrow(chosen.groupBy(F.lit(0).alias("_all")), train, "weights binary").first()
     return np.frombuffer(row[0], np.float32)
 
 
@@ -105,7 +106,7 @@ def score(docs: DataFrame, model: np.ndarray, *carry: str) -> DataFrame:
 
     names = list(dict.fromkeys(carry))
     schema = docs.select(*names).schema.add("score", "double")
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
+    return map_arrow(docs.select(*dict.fromkeys([*names, "text"])), run, schema)
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
