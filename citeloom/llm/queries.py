@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import mixing, quality, url_templates
+from citeloom.llm import mixing, quality, token_planes, url_templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,3 +38,8 @@ def op9_source_mix(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op10_quality(spark: SparkSession, root: str) -> DataFrame:
     return quality.classify(read(spark, root, "documents"), read(spark, root, "labels"))
+
+
+@query
+def op7_token_planes(spark: SparkSession, root: str) -> DataFrame:
+    return token_planes.encode_documents(read(spark, root, "documents"))
