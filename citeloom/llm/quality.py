@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.tasks import group_arrow, map_arrow
 from citeloom.llm.words import Interned, pieces, utf8
+from citeloom.session import materialise
 
 #: Bound of the labelled sample that the model is fitted on; every document is scored.
 SAMPLE_ROWS = 20_000
@@ -72,23 +73,24 @@ def train_ftrl(texts: list[bytes], labels: list[int], s: Settings) -> np.ndarray
     return weights(z, n).astype(np.float32)
 
 
-def fit(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS, settings: Settings = Settings()) -> np.ndarray:
-    """Model of ``labelled`` (doc_id, text, label 0/1): fitted in one task on the ``sample_rows`` rows whose hashed doc_id is
-    smallest, in that order. Without rows all weights are 0, so every score is a half."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    cut = labelled.select("doc_id", "label", F.xxhash64("doc_id").alias("_order"), F.xxhash64("text").alias("_t")).orderBy("_order", "doc_id", "_t").limit(sample_rows)
-    edge = cut.agg(F.max("_order")).first()[0]
-    if edge is None:
+def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, settings: Settings = Settings()) -> np.ndarray:
+    """Model of the quality labels, fitted in one task on the ``sample_rows`` labelled documents outside the held-out fifth
+    whose hashed doc_id is smallest, in that order. Repeated labels count as the highest, of repeated doc_ids the smallest
+    text is taken. Without rows all weights are 0, so every score is a half."""
+    marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    ids = docs.select("doc_id").filter(~held_out()).join(marks, "doc_id").distinct()
+    chosen = materialise(ids.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(sample_rows), "sample")
+    if chosen.isEmpty():
         return np.zeros((1 << BITS) + 1, np.float32)
-    chosen = labelled.filter(order[0] <= edge).select(*(o.alias(f"_o{i}") for i, o in enumerate(order)), "text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("_order", "doc_id").agg(  # sample_rows ids at most
+        F.min("text").alias("text"), F.first("label").alias("label"))
 
     def train(table):
-        table = table.sort_by([("_o0", "ascending"), ("_o1", "ascending"), ("_o2", "ascending")]).slice(0, sample_rows)
+        table = table.sort_by([("_order", "ascending"), ("doc_id", "ascending")])
         w = train_ftrl(utf8(table.column("text").combine_chunks()), table.column("label").to_pylist(), settings)
         return pa.table({"weights": pa.array([w.tobytes()], pa.binary())})
 
-    row = group_arrow(chosen.groupBy(F.lit(0).alias("_all")), train, "weights binary").first()
-    return np.frombuffer(row[0], np.float32)
+    return np.frombuffer(group_arrow(rows.groupBy(F.lit(0).alias("_all")), train, "weights binary").first()[0], np.float32)
 
 
 def score(docs: DataFrame, model: np.ndarray, *carry: str) -> DataFrame:
@@ -113,21 +115,15 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows: documents with a quality label whose crc32(doc_id) mod 5 is not 0. Repeated labels count as the highest."""
-    marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    return docs.select("doc_id", "text").filter(~held_out()).join(marks, "doc_id")
-
-
 def classify(docs: DataFrame, labels: DataFrame, *, accept_from: float = 0.3, **fitting) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from ``accept_from``) of every row; repeated rows stay repeated, a null
     doc_id is scored and never trained on, other columns are ignored."""
-    model = fit(labelled_rows(docs, labels), **fitting)
+    model = fit(docs, labels, **fitting)
     return score(docs, model, "doc_id").select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= accept_from).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, accept_from: float = 0.3, **fitting) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, columns unchanged."""
-    model = fit(labelled_rows(docs, labels), **fitting)
+    model = fit(docs, labels, **fitting)
     return score(docs, model, *docs.columns).filter(F.col("score") >= accept_from).select(*docs.columns)
