@@ -166,7 +166,7 @@ def most_common(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column) -> Colum
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) with ``both``, the exact size of the intersection."""
     left, right = (sets.select(F.col("sid").alias(c), F.col("tokens").alias(f"_{c}")) for c in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("_a", "_b"))).drop("_a", "_b")
+    return pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("_a", "_b"))).drop("_a", "_b").distinct()
 
 
 def set_components(docs: DataFrame, facts: DataFrame, *, n: int, percent: int) -> DataFrame:

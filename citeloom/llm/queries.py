@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import jaccard_join, mixing, quality, token_planes, url_templates
+from citeloom.llm import jaccard_join, leaks, mixing, quality, token_planes, url_templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,3 +48,8 @@ def op7_token_planes(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op5_ngram_jaccard(spark: SparkSession, root: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, root, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op2_benchmark_leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.find_leaks(read(spark, root, "documents"), read(spark, root, "benchmark"))
