@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import jaccard_join, leaks, mixing, quality, token_planes, url_templates
+from citeloom.llm import jaccard_join, leaks, mixing, quality, token_planes, unit_dedup, url_templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +53,8 @@ def op5_ngram_jaccard(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op2_benchmark_leaks(spark: SparkSession, root: str) -> DataFrame:
     return leaks.find_leaks(read(spark, root, "documents"), read(spark, root, "benchmark"))
+
+
+@query
+def op6_unit_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return unit_dedup.dedup_units(read(spark, root, "documents"))
