@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import jaccard_join, leaks, mixing, quality, token_planes, unit_dedup, url_templates
+from citeloom.llm import jaccard_join, leaks, mixing, quality, token_planes, unit_dedup, url_templates, vector_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +58,8 @@ def op2_benchmark_leaks(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op6_unit_dedup(spark: SparkSession, root: str) -> DataFrame:
     return unit_dedup.dedup_units(read(spark, root, "documents"))
+
+
+@query
+def op3_vector_forest(spark: SparkSession, root: str) -> DataFrame:
+    return vector_forest.nearest(read(spark, root, "embeddings"))
