@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import jaccard_join, leaks, mixing, quality, token_planes, unit_dedup, url_templates, vector_forest
+from citeloom.llm import hmm_lm, jaccard_join, leaks, mixing, quality, token_planes, unit_dedup, url_templates, vector_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,3 +63,8 @@ def op6_unit_dedup(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op3_vector_forest(spark: SparkSession, root: str) -> DataFrame:
     return vector_forest.nearest(read(spark, root, "embeddings"))
+
+
+@query
+def op4_hidden_markov(spark: SparkSession, root: str) -> DataFrame:
+    return hmm_lm.score_documents(read(spark, root, "documents"))
