@@ -30,7 +30,7 @@ SKETCH_CHUNKS = 64
 #: Sets to be fetched are broadcast as ids up to this many; beyond it they meet in a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: Pivot rounds before the remaining pairs are compared one by one.
-ROUNDS = 3
+ROUNDS = 2
 NO_ID = -(2**63)
 
 
@@ -65,6 +65,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def head_length(n: int, percent: int) -> int:
+    """Enough of a set to tell most sets apart by an upper bound: its prefix and a sixth of the set more."""
+    return min(n, prefix_length(n, percent) + n // 6)
+
+
 # -- passes over the texts ------------------------------------------------------------------
 
 FACTS = "doc_id long, row_key long, n int, sid long, chunk int, counts binary"
@@ -111,30 +116,32 @@ def frequency_levels(facts: DataFrame) -> np.ndarray:
     return np.ceil(np.log2(total.reshape(-1) + 1.0)).astype(np.uint8)
 
 
-def prefix_lists(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(token, sid, n, pos) for the prefix of every distinct set: its rarest tokens in the global order."""
+def set_heads(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataFrame:
+    """One row per distinct set: sid, n, its prefix (tokens, rarest first in the global order) and its head, short prints of a
+    longer prefix. A print stands for its token in upper bounds only, where an accidental match does no harm."""
     held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = held.value, set()
         for batch in pieces(batches, "text"):
-            tokens, sids, sizes, at = [], [], [], []
+            sids, sizes, prefixes, heads = [], [], [], []
             for s in shingle_sets(utf8(batch.column("text")), n):
                 sid = set_id(s)
                 if not len(s) or sid in seen:
                     continue
                 seen.add(sid)
-                p = prefix_length(len(s), percent)
-                first = np.argsort(level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:p]
-                tokens.append(s[first].view(np.int64))
-                sids.append(np.full(p, sid, np.int64))
-                sizes.append(np.full(p, len(s), np.int32))
-                at.append(np.arange(p, dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, sids, sizes, at)], names=["token", "sid", "n", "pos"])
+                first = s[np.argsort(level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:head_length(len(s), percent)]]
+                sids.append(sid)
+                sizes.append(len(s))
+                prefixes.append(first[:prefix_length(len(s), percent)].view(np.int64))
+                heads.append(first.astype(np.uint32).view(np.int32))
+            if sids:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int32()))],
+                    names=["sid", "n", "prefix", "head"])
 
-    rows = map_arrow(docs.select("text"), run, "token long, sid long, n int, pos int")
-    return rows.groupBy("token", "sid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    rows = map_arrow(docs.select("text"), run, "sid long, n int, prefix array<long>, head array<int>")
+    return materialise(rows.dropDuplicates(["sid"]), "heads")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -163,10 +170,28 @@ def most_common(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column) -> Colum
     return F.least(a_n - a_pos, b_n - b_pos)
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with ``both``, the exact size of the intersection."""
-    left, right = (sets.select(F.col("sid").alias(c), F.col("tokens").alias(f"_{c}")) for c in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("_a", "_b"))).drop("_a", "_b").distinct()
+def with_both(pairs: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b, ...) with the columns of both sets, as a_... and b_... ."""
+    for c in ("a", "b"):
+        pairs = pairs.join(side.select(F.col("sid").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in columns)), c)
+    return pairs
+
+
+def possible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose heads leave room for ``percent`` of similarity. The head that ends first in the global order holds all
+    shared tokens up to its end, so what both heads share and the longer rest bound the intersection."""
+    a_n, b_n = F.col("a_n"), F.col("b_n")
+    rest = F.greatest(a_n - F.size("a_head"), b_n - F.size("b_head"))
+    most = F.least(F.size(F.array_intersect("a_head", "b_head")) + rest, a_n, b_n)
+    return with_both(pairs, heads, "head").filter(linked(most, a_n, b_n, percent)).select(*pairs.columns)
+
+
+def overlaps(docs: DataFrame, owners: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """``pairs`` (a, b, ...) with ``both``, the exact size of the intersection, from the sets of their documents."""
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    sets = fetch_sets(docs, owners.join(wanted, "sid", "left_semi"), n)
+    both = with_both(pairs, sets, "tokens").withColumn("both", F.size(F.array_intersect("a_tokens", "b_tokens")))
+    return both.select(*pairs.columns, "both").distinct()
 
 
 def set_components(docs: DataFrame, facts: DataFrame, *, n: int, percent: int) -> DataFrame:
@@ -175,21 +200,22 @@ def set_components(docs: DataFrame, facts: DataFrame, *, n: int, percent: int) -
     owners = facts.filter("chunk is null and n > 0").groupBy("sid").agg(
         F.min(F.struct("doc_id", "row_key")).alias("_own"), F.count("*").alias("copies")).select("sid", "_own.doc_id", "_own.row_key", "copies")
     owners = materialise(owners, "owners")
-    lists = prefix_lists(docs, levels, n, percent)
-    shared = lists.groupBy("token").agg(F.count("*").alias("_m")).filter("_m > 1").select("token")
-    lists = materialise(lists.join(shared, "token").join(owners.select("sid", "copies"), "sid"), "lists")
-    sets = fetch_sets(docs, owners.join(lists.select("sid").distinct(), "sid", "left_semi"), n)
+    heads = set_heads(docs, levels, n, percent)
+    entries = heads.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = entries.groupBy("token").agg(F.count("*").alias("_m")).filter("_m > 1").select("token")
+    live = entries.join(shared, "token").join(owners.select("sid", "copies"), "sid").withColumn("root", F.col("sid"))
+    live = materialise(live, "lists")
 
-    links, roots, live = None, None, lists.withColumn("root", F.col("sid"))
+    links, roots = None, None
     for k in range(ROUNDS):
-        live, new = _pivot_round(live, sets, percent, k)
+        live, new = _pivot_round(docs, owners, heads, live, n, percent, k)
         if new.isEmpty():
             break
         links = new if links is None else links.union(new)
         roots = components(links)
         live = _unsettled(live, roots)
-    pairs = _open_pairs(live, percent)
-    new = materialise(_accepted(overlaps(pairs, sets), percent), "links")
+    pairs = materialise(possible(_open_pairs(live, percent), heads, percent), "pairs")
+    new = materialise(_accepted(overlaps(docs, owners, pairs, n), percent), "links")
     if not new.isEmpty():
         roots = components(new if links is None else links.union(new))
     return docs.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
@@ -206,7 +232,7 @@ def _unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
     return materialise(live.join(ends, "token", "left_semi"), "live")
 
 
-def _pivot_round(live: DataFrame, sets: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+def _pivot_round(docs: DataFrame, owners: DataFrame, heads: DataFrame, live: DataFrame, n: int, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
     """Compare each list's pivot with all members outside its component. Returns the entries with a mark ``m{k}`` (3 the
     pivot, 1 linked to it, 2 too far from it to link to anything linked to it, else 0) and the new links.
 
@@ -222,11 +248,13 @@ def _pivot_round(live: DataFrame, sets: DataFrame, percent: int, k: int) -> tupl
     beside = materialise(live.join(pivots, "token"), "beside")
     near_size = 100 * F.least("n", "b_n") >= (2 * percent - 100) * F.greatest("n", "b_n")
     pairs = beside.filter(near_size & (F.col("root") != F.col("b_root"))).select(F.col("sid").alias("a"), "b", F.col("n").alias("a_n"), "b_n").distinct()
-    known = materialise(overlaps(pairs, sets), "known")
+    close = materialise(possible(pairs, heads, 2 * percent - 100), "close")
+    known = materialise(overlaps(docs, owners, close, n), "known")
     a_n, b_n, both = F.col("a_n"), F.col("b_n"), F.col("both")
     marks = known.select(F.col("a").alias("sid"), "b", F.when(linked(both, a_n, b_n, percent), 1).when(
         linked(both, a_n, b_n, 2 * percent - 100), 0).otherwise(2).alias("_mark"))
-    mark = F.when(F.col("sid") == F.col("b"), 3).when(~near_size, 2).otherwise(F.coalesce("_mark", F.lit(0)))
+    asked = near_size & (F.col("root") != F.col("b_root"))
+    mark = F.when(F.col("sid") == F.col("b"), 3).when(asked, F.coalesce("_mark", F.lit(2))).when(near_size, 0).otherwise(2)
     marked = beside.join(marks, ["sid", "b"], "left").withColumn(f"m{k}", mark).drop("b", "b_n", "b_root", "_mark")
     return marked, _accepted(known, percent)
 
