@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import hmm_lm, jaccard_join, leaks, mixing, quality, token_planes, unit_dedup, url_templates, vector_forest
+from citeloom.llm import hmm_lm, jaccard_join, leaks, mixing, quality, site_tree, token_planes, unit_dedup, url_templates, vector_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,3 +68,8 @@ def op3_vector_forest(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op4_hidden_markov(spark: SparkSession, root: str) -> DataFrame:
     return hmm_lm.score_documents(read(spark, root, "documents"))
+
+
+@query
+def op1_site_tree(spark: SparkSession, root: str) -> DataFrame:
+    return site_tree.extract_text(read(spark, root, "pages"))
