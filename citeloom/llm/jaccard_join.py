@@ -281,7 +281,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document row: doc_id, row_key, n_shingles and component_id, the smallest doc_id that links reach.
+    """One row per document row: doc_id, row_key, n_shingles, component_id (the smallest doc_id that links reach) and component.
 
     Two documents link when 100 * intersection >= percent * union of their sets of distinct ``n``-word shingles (of the whole
     sequence, if they have fewer words). Null and empty texts have no set and are alone; equal sets are one set with many
@@ -296,4 +296,18 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFr
     out = own.join(least, "root", "left")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), "row_key", F.col("n").cast("long").alias("n_shingles"),
-                      F.when(F.col("n") > 0, real("component_id")).otherwise(real("doc_id")).alias("component_id"))
+                      F.when(F.col("n") > 0, real("component_id")).otherwise(real("doc_id")).alias("component_id"), F.col("root").alias("component"))
+
+
+def first_of_groups(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near duplicates, the one with the smallest doc_id, then text key; columns unchanged. Rows
+    without words are no duplicates and all stay; of rows equal in doc_id and text one stays."""
+    found = near_duplicates(docs, n=n, percent=percent)
+    ids = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("row_key").alias("_key"), "component", "n_shingles")
+    first = ids.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("_doc", "_key")).alias("_first"))
+    kept = first.select("_first._doc", "_first._key", F.lit(False).alias("_empty")).union(
+        ids.filter("n_shingles = 0").select("_doc", "_key", F.lit(True)).distinct())
+    rows = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(materialise(kept, "kept"), ["_doc", "_key"])
+    nth = F.row_number().over(W.partitionBy("_doc", "_key").orderBy("_empty"))
+    return rows.withColumn("_nth", nth).filter(F.col("_empty") | (F.col("_nth") == 1)).select(*docs.columns)

@@ -73,3 +73,10 @@ def op4_hidden_markov(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op1_site_tree(spark: SparkSession, root: str) -> DataFrame:
     return site_tree.extract_text(read(spark, root, "pages"))
+
+
+@query
+def pipeline(spark: SparkSession, root: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, root)

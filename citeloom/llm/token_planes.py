@@ -115,7 +115,7 @@ def read_block(data: bytes, block: int) -> np.ndarray:
 
 _EDGE = re.compile(r" (?=[^\s\x00-\x1f])")
 _ODD = re.compile(r" (?:[\s\x00-\x1f]|$)")
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;?|-]*)")
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;?|-]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;?|-]*))?")
 
 
 def byte_letters() -> dict[int, str]:
@@ -126,55 +126,60 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class PieceIds(dict):
+    """Ids of pieces as little-endian uint32, encoded on first use: words by the library's model, other pieces whole."""
+
+    def __init__(self, tokenizer, before: str, parts: dict[str, bytes]) -> None:
+        self.tokenizer, self.model, self.before, self.parts, self.letters = tokenizer, tokenizer.model, before, parts, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        plain = _PLAIN.fullmatch(self.before + piece)
+        if plain:
+            out = b"".join([self.part(p) for p in plain.groups() if p])
+        else:
+            out = self.whole(self.before + piece)
+        self[piece] = out
+        return out
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def part(self, text: str) -> bytes:
+        """Ids of one run of letters (with a space before it or not), of marks, or of a line break."""
+        ids = self.parts.get(text)
+        if ids is None:
+            if text[-1].isalpha():
+                ids = np.array([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+            else:
+                ids = self.whole(text)
+            self.parts[text] = ids
+        return ids
+
+
 class WordCachedTokenizer:
     """Ids as the library gives them for whole texts. Byte-level BPE never joins across a space that a visible character
-    follows, nor from a letter to a mark, so texts are cut there and the library encodes each distinct piece once: a
-    plain word by its model, any other piece whole. The cache is emptied when full."""
+    follows, nor between letters, marks and line breaks, so texts are cut there and each distinct piece is encoded once. The
+    caches are emptied when full."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.cache: dict[str, bytes] = {}
-
-    def learn(self, new: list[str]) -> None:
-        """Put the ids of pieces that are not cached into the cache."""
-        cache, other, joined = self.cache, [], []
-        for piece in new:
-            plain = _PLAIN.fullmatch(piece)
-            if not plain:
-                other.append(piece)
-                continue
-            word, marks = plain.groups()
-            if word not in cache:
-                text = word.encode().decode("latin-1").translate(self.letters)
-                cache[word] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
-            if marks:
-                joined.append((piece, word, marks))
-                if marks not in cache:
-                    other.append(marks)
-        for piece, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            cache[piece] = np.array(e.ids, "<u4").tobytes()
-        for piece, word, marks in joined:
-            cache[piece] = cache[word] + cache[marks]
+        self.reset()
+
+    def reset(self) -> None:
+        parts: dict[str, bytes] = {}
+        self.first, self.rest = PieceIds(self.tokenizer, "", parts), PieceIds(self.tokenizer, " ", parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        cut = []
+        if len(self.rest) + len(self.first) > CACHE_WORDS:
+            self.reset()
+        out = []
         for t in texts:
-            parts = _EDGE.split(t) if _ODD.search(t) else t.split(" ")
-            cut.append((parts[0], [" " + p for p in parts[1:]]) if parts[0] else ("", [" " + p for p in parts[1:]]))
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        need: set[str] = set()
-        for first, rest in cut:
-            need.add(first)
-            need.update(rest)
-        self.learn([w for w in need if w not in self.cache])
-        get = self.cache.__getitem__
-        return [get(first) + b"".join(map(get, rest)) for first, rest in cut]
+            head, *tail = _EDGE.split(t) if _ODD.search(t) else t.split(" ")
+            out.append(self.first[head] + b"".join(map(self.rest.__getitem__, tail)))
+        return out
 
 
 _tokenizers: dict[str, WordCachedTokenizer] = {}
