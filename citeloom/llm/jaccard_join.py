@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join by prefix lists with set-relation skipping.
 
-Index level: a list entry keeps size and position, and pairs that size or position rule out are skipped before any set is
-read. Answer level: each list has a pivot set, and every member's exact similarity to it is computed once. With
+Index level: a list falls into blocks of like size; blocks that size and position rule out are skipped whole, and of lists that
+hold the same sets one is read. Pairs are bounded by short heads of their sets before a whole set is read. Answer level: each list has a pivot set, and every member's exact similarity to it is computed once. With
 d = 1 - Jaccard (a metric) and x within 1 - t of the pivot, a set further than 2 (1 - t) from the pivot cannot link to x, so
 the answers of x follow from those of its pivot without being searched; and sets already in one component need no answers
 against each other. A group of m near copies therefore costs about m comparisons instead of m * m.
@@ -10,6 +10,7 @@ against each other. A group of m near copies therefore costs about m comparisons
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -165,11 +166,6 @@ def linked(both: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * both >= percent * (a + b - both)
 
 
-def most_common(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column) -> Column:
-    """The largest possible intersection of two sets whose first shared token stands at these positions."""
-    return F.least(a_n - a_pos, b_n - b_pos)
-
-
 def with_both(pairs: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
     """``pairs`` (a, b, ...) with the columns of both sets, as a_... and b_... ."""
     for c in ("a", "b"):
@@ -203,7 +199,8 @@ def set_components(docs: DataFrame, facts: DataFrame, *, n: int, percent: int) -
     heads = set_heads(docs, levels, n, percent)
     entries = heads.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("_m")).filter("_m > 1").select("token")
-    live = entries.join(shared, "token").join(owners.select("sid", "copies"), "sid").withColumn("root", F.col("sid"))
+    entries = materialise(_skip_blocks(entries.join(shared, "token"), percent), "entries")
+    live = _one_list_each(entries).join(owners.select("sid", "copies"), "sid").withColumn("root", F.col("sid"))
     live = materialise(live, "lists")
 
     links, roots = None, None
@@ -221,6 +218,31 @@ def set_components(docs: DataFrame, facts: DataFrame, *, n: int, percent: int) -
     return docs.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
 
 
+def _skip_blocks(entries: DataFrame, percent: int) -> DataFrame:
+    """The entries of list blocks that some block of their list can link to. A block is a band of sizes, so wide that linked
+    sets lie in one band or in neighbours; its first position bounds the size of a partner: a set of size n whose first shared
+    token stands at p links to sizes up to (100 n - (100 + percent) p) / percent. Blocks are compared, not entries."""
+    wide = log(100 / percent) + 1e-9
+    entries = entries.withColumn("_band", F.floor(F.log("n") / wide))
+    blocks = entries.groupBy("token", "_band").agg(
+        F.count("*").alias("_m"), F.min("n").alias("_lo"), (100 * F.max("n") - (100 + percent) * F.min("pos")).alias("_reach"))
+    line = W.partitionBy("token").orderBy("_band")
+
+    def meets(size, reach):
+        return F.coalesce(reach >= percent * size, F.lit(False))
+    inside = (F.col("_m") > 1) & meets(F.col("_lo"), F.col("_reach"))
+    below = (F.col("_band") - F.lag("_band").over(line) == 1) & meets(F.col("_lo"), F.lag("_reach").over(line))
+    above = (F.lead("_band").over(line) - F.col("_band") == 1) & meets(F.lead("_lo").over(line), F.col("_reach"))
+    kept = blocks.withColumn("_kept", inside | F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False))).filter("_kept").select("token", "_band")
+    return entries.join(kept, ["token", "_band"]).drop("_band", "pos")
+
+
+def _one_list_each(entries: DataFrame) -> DataFrame:
+    """Lists that hold the same sets ask the same questions: one of them stays. They are told apart by digests of their sets."""
+    prints = entries.groupBy("token").agg(F.count("*").alias("_m"), F.bit_xor("sid").alias("_x"), F.bit_xor(F.xxhash64("sid")).alias("_y"))
+    return entries.join(prints.filter("_m > 1").groupBy("_m", "_x", "_y").agg(F.min("token").alias("token")).select("token"), "token")
+
+
 def _accepted(known: DataFrame, percent: int) -> DataFrame:
     return known.filter(linked(F.col("both"), F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
 
@@ -260,13 +282,11 @@ def _pivot_round(docs: DataFrame, owners: DataFrame, heads: DataFrame, live: Dat
 
 
 def _open_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """The pairs that no pivot answers: of different components, possible by size and position."""
+    """The pairs that no pivot answers: of different components, possible by size."""
     marks = [c for c in live.columns if c.startswith("m")]
     b = live.select("token", *(F.col(c).alias(f"_{c}") for c in live.columns if c != "token"))
     a_n, b_n = F.col("n"), F.col("_n")
-    most = most_common(a_n, F.col("pos"), b_n, F.col("_pos"))
-    fits = (F.col("sid") < F.col("_sid")) & (F.col("root") != F.col("_root")) & (100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n)) & (
-        most * (100 + percent) >= percent * (a_n + b_n))
+    fits = (F.col("sid") < F.col("_sid")) & (F.col("root") != F.col("_root")) & (100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n))
     for m in marks:
         fits = fits & (F.col(m) != 3) & (F.col(f"_{m}") != 3) & ~(((F.col(m) == 1) & (F.col(f"_{m}") == 2)) | ((F.col(m) == 2) & (F.col(f"_{m}") == 1)))
     return live.join(b, "token").filter(fits).select(F.col("sid").alias("a"), F.col("_sid").alias("b"), F.col("n").alias("a_n"), F.col("_n").alias("b_n")).distinct()
@@ -307,7 +327,8 @@ def first_of_groups(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFr
     first = ids.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("_doc", "_key")).alias("_first"))
     kept = first.select("_first._doc", "_first._key", F.lit(False).alias("_empty")).union(
         ids.filter("n_shingles = 0").select("_doc", "_key", F.lit(True)).distinct())
-    rows = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(materialise(kept, "kept"), ["_doc", "_key"])
-    nth = F.row_number().over(W.partitionBy("_doc", "_key").orderBy("_empty"))
-    return rows.withColumn("_nth", nth).filter(F.col("_empty") | (F.col("_nth") == 1)).select(*docs.columns)
+    kept = materialise(kept.toDF("_cl_doc", "_cl_key", "_cl_empty"), "kept")
+    rows = docs.withColumn("_cl_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_cl_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    nth = F.row_number().over(W.partitionBy("_cl_doc", "_cl_key").orderBy("_cl_empty"))
+    rows = rows.join(kept, ["_cl_doc", "_cl_key"]).withColumn("_cl_nth", nth)
+    return rows.filter(F.col("_cl_empty") | (F.col("_cl_nth") == 1)).select(*docs.columns)

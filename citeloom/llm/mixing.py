@@ -95,8 +95,8 @@ def take(docs: DataFrame, labels: DataFrame | None, **options) -> DataFrame:
     digest = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in docs.columns)))
     chosen = mix(sized(docs, labels, digest.alias("_row")), **options)
     totals = chosen.groupBy("_row").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    joined = docs.withColumn("_row", digest).join(totals, "_row")
-    nth = F.row_number().over(W.partitionBy("_row").orderBy("_rows"))
-    own = F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("int")
-    return joined.withColumn("_own", own.cast("int")).filter("_own > 0").select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("_own"))).alias("_copy")).drop("_copy")
+    joined = docs.withColumn("_cl_row", digest).join(totals.toDF("_cl_row", "_cl_copies", "_cl_rows"), "_cl_row")
+    nth = F.row_number().over(W.partitionBy("_cl_row").orderBy("_cl_rows"))
+    own = F.floor(F.col("_cl_copies") / F.col("_cl_rows")) + (nth <= F.col("_cl_copies") % F.col("_cl_rows")).cast("int")
+    return joined.withColumn("_cl_own", own.cast("int")).filter("_cl_own > 0").select(
+        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("_cl_own"))).alias("_cl_copy")).drop("_cl_copy")

@@ -93,8 +93,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, s
     return np.frombuffer(group_arrow(rows.groupBy(F.lit(0).alias("_all")), train, "weights binary").first()[0], np.float32)
 
 
-def score(docs: DataFrame, model: np.ndarray, *carry: str) -> DataFrame:
-    """``carry`` columns and ``score`` (0 to 1) of every whole text: the sigmoid of one sparse dot product. The text alone
+def score(docs: DataFrame, model: np.ndarray, *carry: str, into: str = "score") -> DataFrame:
+    """``carry`` columns and ``into`` (0 to 1) of every whole text: the sigmoid of one sparse dot product. The text alone
     is an input; null and empty texts get the sigmoid of the bias."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB whatever the input
 
@@ -104,10 +104,10 @@ def score(docs: DataFrame, model: np.ndarray, *carry: str) -> DataFrame:
             rows, feats, size = hashed_ngrams(utf8(batch.column("text")))
             dot = np.bincount(rows, w[feats], batch.num_rows) / np.sqrt(np.maximum(size, 1)) + w[-1]
             p = 1 / (1 + np.exp(-np.clip(dot, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p)], names=[*names, into])
 
     names = list(dict.fromkeys(carry))
-    schema = docs.select(*names).schema.add("score", "double")
+    schema = docs.select(*names).schema.add(into, "double")
     return map_arrow(docs.select(*dict.fromkeys([*names, "text"])), run, schema)
 
 
@@ -126,4 +126,4 @@ def classify(docs: DataFrame, labels: DataFrame, *, accept_from: float = 0.3, **
 def accepted(docs: DataFrame, labels: DataFrame, *, accept_from: float = 0.3, **fitting) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, columns unchanged."""
     model = fit(docs, labels, **fitting)
-    return score(docs, model, *docs.columns).filter(F.col("score") >= accept_from).select(*docs.columns)
+    return score(docs, model, *docs.columns, into="_cl_score").filter(F.col("_cl_score") >= accept_from).select(*docs.columns)
