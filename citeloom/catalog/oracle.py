@@ -68,10 +68,10 @@ h0 AS (SELECT t.source_index, t.anchor, t.class, p.block_ordinal, string_agg(p.p
   FROM post p JOIN trg t USING (anchor) GROUP BY 1, 2, 3, 4),
 h AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_index ORDER BY block_ordinal) AS r FROM h0) {limit}),
 meta AS MATERIALIZED (SELECT c.block_ordinal, lower(v.role) AS speaker, strftime(to_timestamp(1704067200 + v.conv_id * 3600 + v.turn * 60) AT TIME ZONE 'UTC', '%Y-%m-%d') AS date,
-  citation_id, c.text FROM cite c JOIN conversations v ON v.conv_id = c.k1 AND v.turn = c.k2),
+  strftime(to_timestamp(1704067200 + v.conv_id * 3600 + v.turn * 60) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created, block_id, citation_id, c.text FROM cite c JOIN conversations v ON v.conv_id = c.k1 AND v.turn = c.k2),
 dist AS (SELECT unnest([-1, 0, 1]) AS distance),
 ar AS MATERIALIZED (SELECT h.source_index, h.anchor, h.class, h.block_ordinal, distance, CASE WHEN distance < 0 THEN 'prior' WHEN distance = 0 THEN 'hit' ELSE 'next' END AS side,
-  m.block_ordinal AS context_ordinal, m.speaker, m.date, m.citation_id, m.text FROM h CROSS JOIN dist JOIN meta m ON m.block_ordinal = h.block_ordinal + distance),
+  m.block_ordinal AS context_ordinal, m.speaker, m.date, m.created, m.block_id, m.citation_id, m.text FROM h CROSS JOIN dist JOIN meta m ON m.block_ordinal = h.block_ordinal + distance),
 wd AS MATERIALIZED (SELECT a.*, p.anchor AS term FROM ar a JOIN post p ON p.block_ordinal = a.context_ordinal WHERE length(p.anchor) >= 2)"""
 
 
@@ -104,7 +104,8 @@ def _events(shaped: bool) -> str:
              "WHEN speaker = 'assistant' AND class = 'coding_building' THEN 'candidate_assistant_system_building_response' "
              "ELSE 'candidate_contextual_state_signal' END") if shaped else "'candidate_contextual_state_signal'"
     pick = lambda side: f"coalesce(string_agg(term, '|' ORDER BY r) FILTER (side = '{side}'), '')"
-    return f"""SELECT 'tcg-' || lpad(CAST(row_number() OVER (ORDER BY a.source_index, a.block_ordinal) AS VARCHAR), 6, '0') AS event_id, date, a.anchor AS trigger, class,
+    digest = "|| '-' || left(sha1(a.anchor || '|' || created || '|' || speaker || '|' || block_id), 8)" if shaped else ""
+    return f"""SELECT printf('tcg-%06d', row_number() OVER (ORDER BY a.source_index, a.block_ordinal)) {digest} AS event_id, date, a.anchor AS trigger, class,
   '[' || citation_id || ']' AS citation, coalesce(prior_terms, '') AS prior_terms, coalesce(hit_terms, '') AS hit_terms, coalesce(next_terms, '') AS next_terms,
   {shape} AS event_shape, 0.0::DOUBLE AS confidence, true AS needs_review
 FROM ar a LEFT JOIN (SELECT source_index, block_ordinal, {pick('prior')} AS prior_terms, {pick('hit')} AS hit_terms, {pick('next')} AS next_terms FROM (
@@ -335,11 +336,11 @@ xl AS (SELECT l.question_id, l.citation AS fc, l.line_start AS fs, l.line_end AS
         '2024-01-01' AS created_at, role AS speaker, sha1({s.strip('text')}) AS text_hash FROM conversations WHERE role IN ('user', 'assistant') AND {s.strip('text')} <> ''"""
     out["message_routing"] = _routing()
 
-    out["watchlist_hits"] = _chat(TRIGGERS, _hits(500), final="SELECT source_index, anchor, class, block_ordinal, positions FROM h")
-    out["watchlist_context"] = _chat(TRIGGERS, _hits(500), final="""SELECT anchor, block_ordinal, side, distance, context_ordinal, speaker AS context_speaker,
+    out["watchlist_hits"] = _chat(TRIGGERS, _hits(None), final="SELECT source_index, anchor, class, block_ordinal, positions FROM h")
+    out["watchlist_context"] = _chat(TRIGGERS, _hits(None), final="""SELECT anchor, block_ordinal, side, distance, context_ordinal, speaker AS context_speaker,
         citation_id AS context_citation FROM ar""")
-    out["context_counts"] = _chat(TRIGGERS, _hits(500), final=_context(False))
-    out["event_table"] = _chat(TRIGGERS, _hits(500), final=_events(False))
+    out["context_counts"] = _chat(TRIGGERS, _hits(None), final=_context(False))
+    out["event_table"] = _chat(TRIGGERS, _hits(None), final=_events(False))
     out["wide_context_counts"] = _chat(TRIGGERS, _hits(None), final=_context(True))
     out["shaped_events"] = _chat(TRIGGERS, _hits(None), final=_events(True))
     out["phrase_hits"] = _chat(PHRASES, final=f"""SELECT surface, class, severity, block_ordinal, CASE WHEN len(pos) > 0 THEN array_to_string(pos, '|') ELSE '-1' END AS positions,

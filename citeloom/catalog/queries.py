@@ -365,7 +365,7 @@ def message_routing(t: Tables) -> DataFrame:
 
 def _watch(t: Tables) -> wt.WatchRun:
     if not hasattr(t, "_watch_run"):
-        t._watch_run = wt.special_search(t.chat, t.triggers)
+        t._watch_run = wt.special_search(t.chat, t.triggers, max_hits=None)
     return t._watch_run
 
 
@@ -414,7 +414,7 @@ def wide_context_counts(t: Tables) -> DataFrame:
 
 @query
 def shaped_events(t: Tables) -> DataFrame:
-    return _events(_trigger(t).events.withColumn("event_id", F.substring("event_id", 1, 10)))
+    return _events(_trigger(t).events)
 
 
 @query

@@ -185,3 +185,7 @@ ROUTING_GROUPS = {
     "mutation": ("delete", "remove", "wipe", "clear", "purge", "overwrite", "reset",
                  "destroy", "trash", "nuke"),
 }
+
+# Forms of follow-up questions (our own wording).
+PAIR_QUESTION = "Which cited lines tie %s to %s?"
+SINGLE_QUESTION = "Which cited lines speak of %s?"

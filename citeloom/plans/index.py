@@ -106,6 +106,8 @@ def save_index(index: CorpusIndex, root: str | None = None) -> str:
     root = root or new_location(index.spark, index.dataset_id)
     index.blocks.write.mode("overwrite").partitionBy("ordinal_range").parquet(f"{root}/blocks")
     index.terms.write.mode("overwrite").parquet(f"{root}/terms")
+    settings = index.spark.createDataFrame([(index.dataset_id, index.window, list(index.stop))], "dataset_id string, window int, stop array<string>")
+    settings.write.mode("overwrite").parquet(f"{root}/settings")
     for name, df in (("counts", index.counts), ("relations", index.relations), ("pairs", index.pairs),
                      ("lexicon", index.lexicon),
                      ("citations", bl.citations(index.blocks)), ("coordinates", bl.coordinates(index.blocks))):
@@ -115,7 +117,7 @@ def save_index(index: CorpusIndex, root: str | None = None) -> str:
     return root
 
 
-REQUIRED = ("blocks", "terms", "counts", "relations", "pairs", "lexicon")
+REQUIRED = ("blocks", "terms", "counts", "relations", "pairs", "lexicon", "settings")
 
 
 def missing_tables(spark: SparkSession, root: str) -> list[str]:
@@ -131,5 +133,6 @@ def load_index(spark: SparkSession, root: str, dataset_id: str = "default") -> C
     if missing:
         raise FileNotFoundError(f"dataset {dataset_id!r} lacks: {', '.join(missing)}")
     read = {n: spark.read.parquet(f"{root}/{n}") for n in REQUIRED}
-    return CorpusIndex(spark, dataset_id, read["blocks"], read["terms"],
+    built = read["settings"].first()
+    return CorpusIndex(spark, dataset_id, read["blocks"], read["terms"], window=built["window"], stop=tuple(built["stop"]),
                        saved={n: read[n] for n in ("counts", "relations", "pairs")})

@@ -66,7 +66,7 @@ def stage_sessions(lines: DataFrame, titles: DataFrame | None = None) -> DataFra
     message_id = F.substring(F.sha1(F.concat_ws(":", "source_path", F.col("turn_number").cast("string"), "created_at",
                                                 "speaker").cast("binary")), 1, 16)
     return turns.select(
-        "source_path", "turn_number", F.coalesce("scope", F.lit("codex")).alias("scope"),
+        "source_path", "turn_number", F.coalesce("scope", F.lit("session")).alias("scope"),
         F.coalesce("session_id", "stem").alias("conversation_id"), message_id.alias("message_id"),
         F.coalesce("thread_title", "stem").alias("title"), "created_at", "speaker", "text")
 
@@ -86,7 +86,7 @@ def stage_markdown(docs: DataFrame) -> DataFrame:
     cut = F.split(F.regexp_replace(t, r"(?md)^(###\s+[0-9]+\.\s+(?:User|Assistant)\s*)$", mark + "$1"), mark)
     rows = docs.select("source_path", pick(F.trim(title), stem).alias("title"),
                        pick(field("session id"), stem).alias("conversation_id"),
-                       pick(field("originator"), F.lit("codex_markdown_export")).alias("scope"),
+                       pick(field("originator"), F.lit("markdown_export")).alias("scope"),
                        F.posexplode(cut).alias("at", "piece")).filter(F.col("at") > 0)
     head = F.regexp_extract("piece", r"^###\s+[0-9]+\.\s+(User|Assistant)", 1)
     rest = F.regexp_replace("piece", r"^###\s+[0-9]+\.\s+(?:User|Assistant)[ \t]*", "")

@@ -37,15 +37,16 @@ def table_stream(spark: SparkSession, path: str, *, key: str, text: str, prefix:
     """Rows of a growing Parquet folder as a stream of documents. ``path`` is the folder, or a
     pattern inside it such as ``folder/part-*.parquet``."""
     folder, _, name = path.rstrip("/").rpartition("/")
-    pattern = name if name.endswith(".parquet") else "*.parquet"
-    base = folder if name.endswith(".parquet") else path
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(base).schema
+    table = spark.read.parquet(path)
+    one_file = any(f.rstrip("/").endswith(f"/{name}") for f in table.inputFiles())
+    pattern, base = (name, folder) if one_file or "*" in name else ("*.parquet", path)
+    schema = table.schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(base).select(
         F.col(key).alias("source_key"), F.concat(F.lit(prefix + "/"), F.col(key).cast("string")).alias("source_path"),
-        F.col(text).alias("text"), F.length(text).cast("bigint").alias("file_bytes"))
+        F.col(text).alias("text"), F.octet_length(text).cast("bigint").alias("file_bytes"))
 
 
 def write_batch(batch: DataFrame, batch_id: int, root: str, *, window: int, stop, max_doc_bytes: int | None) -> None:

@@ -174,10 +174,34 @@ def test_frames_and_mirror(index_of, spark):
     assert all(f.frame_id.startswith("FRAME-") for f in s.frames.collect())
 
 
-def test_queue_places():
-    # three questions of two follow-ups each leave the queue as one packet; budget of six
-    assert rd.queue_places([2, 2, 2], 0, 3, 0, max_records=6, packet_size=10) == ([2, 2, 0], 7, 3)
-    assert rd.queue_places([2], 0, 1, 0, max_records=1, packet_size=10)[0] == [0]
+def test_event_ids_and_suggestions_are_not_cut(spark):
+    from pyspark.sql import functions as F
+    from citeloom.operators.suggest import apply_suggestions
+    long = "a" * 1200
+    out = spark.range(1).select(
+        F.format_string("tcg-%06d", F.lit(1234567)).alias("id"),
+        apply_suggestions(F.lit(long.capitalize()), F.array(F.struct(F.lit(long).alias("raw"), F.lit("b" * 1100).alias("new")))).alias("q")).head()
+    assert out.id == "tcg-1234567" and out.q == ("b" * 1100).capitalize()
+
+
+def test_table_stream_reads_a_folder(spark, tmp_path):
+    from citeloom.streaming import intake
+    folder = str(tmp_path / "docs.parquet")
+    spark.range(6).selectExpr("id as k", "'é words' as body").repartition(3).write.parquet(folder)
+    for path in (folder, f"{folder}/part-*.parquet"):
+        stream = intake.table_stream(spark, path, key="k", text="body", prefix="p")
+        query = stream.writeStream.format("memory").queryName(f"t{len(path)}").option("checkpointLocation", str(tmp_path / f"c{len(path)}")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        rows = spark.table(f"t{len(path)}").collect()
+        assert len(rows) == 6 and {r.file_bytes for r in rows} == {8}
+
+
+def test_every_seed_is_asked(chat, spark):
+    seeds = spark.createDataFrame([(i, f"harbor crane trouble number {i}") for i in range(60)], "seed_at int, question string")
+    run = rd.run_rounds(chat, seeds, max_records=10)
+    assert sorted(r.place for r in run.attempts.collect()) == list(range(1, 61))
+    deep = rd.run_rounds(chat, seeds.limit(2), max_depth=1).attempts.collect()
+    assert {r.depth for r in deep} == {0, 1} and sorted(r.place for r in deep) == list(range(1, len(deep) + 1))
 
 
 def test_rounds(chat, spark):
@@ -186,7 +210,7 @@ def test_rounds(chat, spark):
     rows = run.attempts.orderBy("place").collect()
     assert [r.place for r in rows] == [1, 2, 3, 4, 5] and [r.depth for r in rows] == [0, 0, 1, 1, 2]
     assert rows[0].passed and not rows[1].passed and "missing_citation" in rows[1].failure_types
-    assert rows[2].question.startswith("What does the cited evidence connect between") and rows[2].parent_id == rows[0].question_id
+    assert rows[2].question.startswith("Which cited lines tie") and rows[2].parent_id == rows[0].question_id
     assert run.failures.count() == run.corrections.count() >= 1
     kinds = {r.link_type for r in run.links.collect()}
     assert kinds == {"content", "idea", "context"}
@@ -273,7 +297,7 @@ def test_session_staging(spark, tmp_path):
     turns = tr.stage_sessions(tr.event_lines(spark, str(tmp_path)), tr.session_titles(index))
     rows = turns.orderBy("turn_number").collect()
     assert [(r.turn_number, r.conversation_id, r.title, r.speaker, r.text, r.scope) for r in rows] == [
-        (1, "s1", "Talk", "user", "hello\nthere", "cli"), (2, "s1", "Talk", "assistant", "hi", "cli"), (3, "b", "b", "user", "alone", "codex")]
+        (1, "s1", "Talk", "user", "hello\nthere", "cli"), (2, "s1", "Talk", "assistant", "hi", "cli"), (3, "b", "b", "user", "alone", "session")]
     r = tr.staging_receipt(turns).head()
     assert (r.turn_count, r.session_count, r.user_turns, r.earliest_timestamp, r.latest_timestamp) == (3, 2, 2, "2024-01-02", "2024-01-03")
     text = tr.render_turns(turns, "sessions").orderBy("turn_number").head().turn_text
