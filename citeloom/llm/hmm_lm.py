@@ -35,7 +35,7 @@ PASSES = 3
 START_TOKENS = 400_000
 START_PASSES = 12
 #: Tokens of a block of documents that share one vocabulary, and of a batch of the recursion.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 6_000_000
 BATCH_TOKENS = 400_000
 SLICES = 32
 
@@ -128,26 +128,28 @@ def word_blocks(docs: DataFrame) -> DataFrame:
     """Documents in blocks: word ids into the block's own vocabulary, and that vocabulary with its training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, nth, held, it = TaskContext.get().partitionId(), 0, [], Interned()
 
         def flush() -> pa.RecordBatch:
-            it = Interned(w for *_, w in held)
-            train = np.repeat(np.array([not h for _, h, _ in held]), it.lens)
-            vocab = np.fromiter(map(xxhash.xxh3_64_intdigest, it.vocab), np.uint64, len(it.vocab))
-            shares = np.fromiter((xxhash.xxh3_64_intdigest(w[:3]) % SHARED for w in it.vocab), np.uint16, len(it.vocab))
+            train = np.repeat(np.array([not h for _, h in held]), it.lens)
+            words = it.vocab
+            vocab = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            shares = np.fromiter((xxhash.xxh3_64_intdigest(w[:3]) % SHARED for w in words), np.uint16, len(words))
             counts = np.bincount(it.ids[train], minlength=len(vocab)).astype(np.uint32)
-            columns = ([part << 32 | nth], [[d for d, *_ in held]], [[h for _, h, _ in held]], [it.lens.tolist()],
+            columns = ([part << 32 | nth], [[d for d, _ in held]], [[h for _, h in held]], [it.lens.tolist()],
                        *([pack(x)] for x in (it.ids.astype(np.uint32), vocab, shares, counts)))
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 4)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
+        size = 0
         for batch in pieces(batches, "text"):
             for doc, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), utf8(batch.column("text"))):
-                held.append((doc, out, lower_words(text)))
-                size += len(held[-1][2])
+                held.append((doc, out))
+                it.add(lower_words(text))
+                size += len(it.flat[-1])
                 if size >= BLOCK_TOKENS:
                     yield flush()
-                    nth, held, size = nth + 1, [], 0
+                    nth, held, it, size = nth + 1, [], Interned(), 0
         if held:
             yield flush()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +35,30 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 <<
 
 
 class Interned:
-    """Word lists as flat ids into a vocabulary: ``ids`` of all texts, ``lens`` per text, ``vocab`` by id."""
+    """Word lists as flat ids into a vocabulary: ``ids`` of all texts, ``lens`` per text, ``vocab`` by id. Lists may be added
+    one by one; only their ids are kept."""
 
-    def __init__(self, lists: Iterable[list[bytes]]) -> None:
-        table: dict[bytes, int] = defaultdict()
-        table.default_factory = table.__len__
-        flat, lens = [], []
+    def __init__(self, lists: Iterable[list[bytes]] = ()) -> None:
+        self.table: dict[bytes, int] = defaultdict()
+        self.table.default_factory = self.table.__len__
+        self.flat: list[np.ndarray] = []
         for words in lists:
-            lens.append(len(words))
-            flat.append(np.fromiter(map(table.__getitem__, words), np.int64, len(words)))
-        self.vocab = list(table)
-        self.lens = np.array(lens, np.int64)
-        self.ids = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+            self.add(words)
+
+    def add(self, words: list[bytes]) -> None:
+        self.flat.append(np.fromiter(map(self.table.__getitem__, words), np.int32, len(words)))
+
+    @property
+    def vocab(self) -> list[bytes]:
+        return list(self.table)
+
+    @cached_property
+    def lens(self) -> np.ndarray:
+        return np.array([len(x) for x in self.flat], np.int64)
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        return np.concatenate(self.flat) if self.flat else np.zeros(0, np.int32)
 
     @property
     def starts(self) -> np.ndarray:
@@ -58,5 +71,5 @@ class Interned:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each id's word."""
-        table = np.fromiter(map(xxhash.xxh3_64_intdigest, self.vocab), np.uint64, len(self.vocab))
+        table = np.fromiter(map(xxhash.xxh3_64_intdigest, self.table), np.uint64, len(self.table))
         return table[self.ids] if len(self.ids) else np.zeros(0, np.uint64)
