@@ -254,13 +254,18 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 'pairs', count(*) FROM (SELECT DISTINCT anchor, neighbor FROM rel)""")
 
     out["lexicon_search"] = _docs(f"lx AS ({LEX})", final="""SELECT * FROM lx WHERE (contains(anchor, 'tion') OR contains(lower(symbol), 'tion')) AND starts_with(anchor, 'e')
-        ORDER BY anchor LIMIT 1000""")
+        ORDER BY anchor""")
+    out["search_totals"] = _docs(f"lx AS ({LEX})", "qt AS (SELECT " + s.tokens("'of the whst'") + " AS w)", final="""SELECT 'lexicon' AS search, count(*) AS total FROM lx
+        WHERE contains(anchor, 'tion') OR contains(lower(symbol), 'tion') UNION ALL
+        SELECT 'locations', count(*) FROM t, qt WHERE len(list_filter(w, lambda x: NOT list_contains(terms, x))) = 0""")
+    out["block_reads"] = _docs(final="""SELECT block_ordinal, block_id, citation_id, source_path, sha1(text) AS read_hash, array_to_string(terms[1:50], '|') AS first_terms
+        FROM cite JOIN t USING (block_ordinal) WHERE block_ordinal = 5""")
     out["anchor_detail"] = _docs(f"lx AS ({LEX})", final="SELECT * FROM lx WHERE anchor = 'than'")
     out["term_locations"] = _docs("qt AS (SELECT " + s.tokens("'of the whst'") + " AS w)", final=f"""SELECT c.block_ordinal, source_path, line_start, line_end, citation_id,
         len(sp) > 0 AS exact_sequence, {JOIN('w')} AS query_terms, {JOIN('sp')} AS sequence_positions, n AS position_count FROM (
           SELECT *, list_filter(range(0, len(terms)), lambda i: list_slice(terms, i + 1, i + len(w)) = w) AS sp,
           len(list_filter(terms, lambda a: list_contains(w, a))) AS n FROM t, qt WHERE len(list_filter(w, lambda x: NOT list_contains(terms, x))) = 0) h
-        JOIN cite c USING (block_ordinal) ORDER BY exact_sequence DESC, source_path, line_start LIMIT 1000""")
+        JOIN cite c USING (block_ordinal) ORDER BY exact_sequence DESC, source_path, line_start""")
     out["question_lexicon"] = _docs(s.questions(), f"lx AS ({LEX})", final="""SELECT a.anchor, symbol IS NOT NULL AS known, symbol, coalesce(observations, 0) AS observations
         FROM (SELECT DISTINCT unnest(base) AS anchor FROM q) a LEFT JOIN lx USING (anchor)""")
     out["anchor_blocks"] = _docs(s.questions(), final="""SELECT anchor, block_ordinal, occurrences, block_rank, sha1(ps) AS positions_hash FROM (
@@ -304,18 +309,19 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY direct_hit
 gold AS (SELECT DISTINCT l.question_id, c.block_ordinal FROM lab l JOIN cite c USING (source_path))""",
                                   final="SELECT question_id, block_ordinal AS gold_ordinal, full_rank FROM fr JOIN gold USING (question_id, block_ordinal)")
 
-    chat_parts = (s.blocks(s.CHAT, "c"), s.relations("c"), s.ranking("c"), s.candidates("c"), s.gate("c"))
+    chat_parts = (s.blocks(s.CHAT, "c"), s.relations("c"), s.ranking("c"), s.candidates("c", 40), s.gate("c", 8))
     link = lambda p: f"""(SELECT question_id, citation, line_start, line_end, list_filter(list_distinct(terms), lambda a: length(a) >= 3
         AND NOT list_contains({s.words_list(sorted({*fv.STOP_TERMS, *fv.CROSSLINK_BLOCKED}))}, a) AND NOT regexp_full_match(a, '\\p{{Nd}}+')) AS terms
         FROM {p}g WHERE location_rank IS NOT NULL OR rejected_rank IS NOT NULL)"""
     has = lambda *w: "(" + " OR ".join(f"list_contains(sh, '{x}')" for x in w) + ")"
-    out["citation_crosslinks"] = _ask(*GATE, *chat_parts, f"lk AS MATERIALIZED {link('')}", f"rk AS MATERIALIZED {link('c')}", """
+    out["citation_crosslinks"] = s.with_(s.blocks(s.DOCS), s.relations(), s.questions(), s.ranking(), s.candidates("", 40), s.gate("", 8), *chat_parts, f"lk AS MATERIALIZED {link('')}", f"rk AS MATERIALIZED {link('c')}", """
 xl AS (SELECT l.question_id, l.citation AS fc, l.line_start AS fs, l.line_end AS fe, r.citation AS tc, r.line_start AS ts, r.line_end AS te,
-  list_sort(list_filter(l.terms, lambda a: list_contains(r.terms, a))) AS sh FROM lk l JOIN rk r USING (question_id))""", final=f"""SELECT question_id, fc AS from_citation,
+  list_sort(list_filter(l.terms, lambda a: list_contains(r.terms, a))) AS sh FROM lk l JOIN rk r USING (question_id))""") + f"""
+        SELECT question_id, fc AS from_citation,
         fs AS from_line_start, fe AS from_line_end, tc AS to_citation, ts AS to_line_start, te AS to_line_end,
         CASE WHEN {has('citation', 'linking')} AND {has('graph', 'network', 'cross')} THEN 'same_requirement' WHEN {has('file', 'path', 'commit')} THEN 'implementation_followup'
         WHEN {has('contradiction', 'conflict', 'conflicting')} THEN 'contradiction' ELSE 'same_evidence_field' END AS link_type, {JOIN('sh[1:30]')} AS shared_anchors,
-        len(sh) AS shared_anchor_count, CASE WHEN len(sh) >= 8 THEN 'strong' WHEN len(sh) >= 5 THEN 'partial' ELSE 'weak' END AS confidence FROM xl WHERE len(sh) >= 3""")
+        len(sh) AS shared_anchor_count, CASE WHEN len(sh) >= 8 THEN 'strong' WHEN len(sh) >= 5 THEN 'partial' ELSE 'weak' END AS confidence FROM xl WHERE len(sh) >= 3"""
 
     stamp = "to_timestamp(1704067200 + conv_id * 3600 + turn * 60) AT TIME ZONE 'UTC'"
     out["chat_headers"] = f"""WITH m AS (SELECT *, {stamp} AS ts, len(regexp_split_to_array({s.strip('text')}, '\\r\\n|[\\n\\r]')) + 11 AS n FROM conversations),

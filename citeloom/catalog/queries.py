@@ -118,7 +118,9 @@ def source_receipt(t: Tables) -> DataFrame:
 def incremental_counts(t: Tables) -> DataFrame:
     """Streaming intake of the documents, then the folded counts."""
     root, checkpoint = new_location(t.spark, "stream"), new_location(t.spark, "stream_checkpoint")
-    stream = intake.table_stream(t.spark, f"{t.root}/documents.parquet", key="doc_id", text="text", prefix="documents")
+    folder = new_location(t.spark, "arrivals.parquet")
+    t.read("documents").repartition(4).write.parquet(folder)  # four files, one a batch
+    stream = intake.table_stream(t.spark, folder, key="doc_id", text="text", prefix="documents", max_files=1)
     intake.start_intake(stream, root, checkpoint).awaitTermination()
     return intake.total_counts(t.spark, root)
 
@@ -137,7 +139,15 @@ def dataset_status(t: Tables) -> DataFrame:
 
 @query
 def lexicon_search(t: Tables) -> DataFrame:
-    return lookup.search_lexicon(t.docs.lexicon, query="tion", prefix="e", limit=1000)
+    return lookup.search_lexicon(t.docs.lexicon, query="tion", prefix="e", limit=None)
+
+
+@query
+def search_totals(t: Tables) -> DataFrame:
+    """Totals that stand beside cut pages of the lexicon and of the locations."""
+    lexicon = lookup.total(lookup.search_lexicon(t.docs.lexicon, query="tion", limit=None)).select(F.lit("lexicon").alias("search"), "total")
+    places = lookup.total(lookup.term_locations(t.docs.blocks, t.docs.terms, "of the whst", limit=None))
+    return lexicon.union(places.select(F.lit("locations"), "total"))
 
 
 @query
@@ -147,7 +157,7 @@ def anchor_detail(t: Tables) -> DataFrame:
 
 @query
 def term_locations(t: Tables) -> DataFrame:
-    rows = lookup.term_locations(t.docs.blocks, t.docs.terms, "of the whst", limit=1000)
+    rows = lookup.term_locations(t.docs.blocks, t.docs.terms, "of the whst", limit=None)
     return rows.select("block_ordinal", "source_path", "line_start", "line_end", "citation_id", "exact_sequence",
                        bar("query_terms").alias("query_terms"), bar("sequence_positions").alias("sequence_positions"),
                        F.size(F.flatten("positions")).cast("bigint").alias("position_count"))
@@ -166,6 +176,16 @@ def anchor_blocks(t: Tables) -> DataFrame:
         "anchor", "block_ordinal", "occurrences", "block_rank", F.sha1(bar("positions").cast("binary")).alias("positions_hash"))
 
 
+@query
+def block_reads(t: Tables) -> DataFrame:
+    """Citation, text and first terms of one block, each by its own read."""
+    at = lookup.citation(t.docs.blocks, 5)
+    text = lookup.block_text(t.docs.blocks, 5).select("block_ordinal", F.sha1(F.col("text").cast("binary")).alias("read_hash"))
+    first = lookup.block_anchors(t.docs.terms, 5).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("position", "anchor"))), lambda x: x["anchor"]), "|").alias("first_terms"), F.lit(5).cast("bigint").alias("block_ordinal"))
+    return at.join(text, "block_ordinal").join(first, "block_ordinal").select("block_ordinal", "block_id", "citation_id", "source_path", "read_hash", "first_terms")
+
+
 @query
 def anchor_neighbors(t: Tables) -> DataFrame:
     asked = t.packets.questions.select(F.explode("base_terms").alias("anchor")).distinct()
@@ -277,7 +297,7 @@ def gold_full_rank(t: Tables) -> DataFrame:
 
 @query
 def citation_crosslinks(t: Tables) -> DataFrame:
-    linked = xl.link_packets(t.packets, ak.ask(t.chat, t.questions))
+    linked = xl.link_corpora(t.docs, t.chat, t.questions)
     return linked.links.select("question_id", "from_citation", "from_line_start", "from_line_end", "to_citation", "to_line_start",
                                "to_line_end", "link_type", bar("shared_anchors").alias("shared_anchors"), "shared_anchor_count", "confidence")
 

@@ -97,6 +97,6 @@ def run_totals(spark: SparkSession, root: str) -> DataFrame:
         F.sum("unique_anchors").alias("unique_anchor_sum_by_batch"))
 
 
-def batch_ledger(query: StreamingQuery) -> list[dict]:
-    """Progress events of a query, newest last."""
-    return [dict(batch=p["batchId"], rows=p["numInputRows"], millis=p["batchDuration"]) for p in query.recentProgress]
+def batch_ledger(spark: SparkSession, root: str) -> DataFrame:
+    """Every batch that was written, with its metrics, in order."""
+    return spark.read.parquet(f"{root}/metrics").orderBy("batch_id")
