@@ -115,9 +115,9 @@ FROM ar a LEFT JOIN (SELECT source_index, block_ordinal, {pick('prior')} AS prio
 
 
 PHRASES = f"""
-ph0 AS (SELECT conv_id * 1000 + turn AS source_index, string_split(trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')), ' ') AS ws, role AS class,
+ph0 AS (SELECT conv_id * 1000 + turn AS source_index, turn, string_split(trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')), ' ') AS ws, role AS class,
   CASE WHEN length(text) > 400 THEN 'high' ELSE 'low' END AS severity FROM conversations),
-ph1 AS (SELECT *, lower(ws[1] || ' ' || ws[2]) AS surface FROM ph0 WHERE len(ws) >= 2),
+ph1 AS (SELECT *, lower(array_to_string(ws[1:CASE WHEN turn % 2 = 1 AND len(ws) >= 4 THEN 4 ELSE 2 END], ' ')) AS surface FROM ph0 WHERE len(ws) >= 2),
 ph2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY source_index) AS r FROM ph1) WHERE r = 1),
 ph AS MATERIALIZED (SELECT source_index, surface, class, severity, {s.tokens('surface')} AS wanted FROM ph2),
 phm AS (SELECT p.*, b.block_ordinal, t.terms FROM ph p JOIN b ON contains(lower({s.squeeze('b.text')}), p.surface) JOIN t USING (block_ordinal) WHERE len(wanted) > 0),

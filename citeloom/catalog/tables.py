@@ -70,9 +70,10 @@ class Tables:
 
     @cached_property
     def phrases(self) -> DataFrame:
-        """The first two words of every message as a phrase watchlist."""
+        """The first two words of every message, or the first four of odd turns that have them, as a phrase watchlist."""
         words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+        width = F.when((F.col("turn") % 2 == 1) & (F.size(words) >= 4), 4).otherwise(2)
         rows = self.read("conversations").filter(F.size(words) >= 2)
         return materialise(rows.select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("source_index"), F.array_join(F.slice(words, 1, 2), " ").alias("surface"),
+            (F.col("conv_id") * 1000 + F.col("turn")).alias("source_index"), F.array_join(F.slice(words, F.lit(1), width), " ").alias("surface"),
             F.col("role").alias("class"), F.when(F.length("text") > 400, F.lit("high")).otherwise(F.lit("low")).alias("severity")), "phrases")
