@@ -15,15 +15,15 @@ def components(links: DataFrame) -> DataFrame:
     until no link is left between different nodes. Hubs are partial aggregates, never one collected group.
     """
     edges = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct(), "edges")
-    roots: DataFrame | None = None
+    steps: list[DataFrame] = []
     while True:
         step = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "step")
-        if roots is None:
-            roots = step.select("node", F.col("to").alias("root"))
-        else:
-            roots = materialise(roots.join(step.withColumnsRenamed({"node": "root", "to": "_to"}), "root", "left").select(
-                "node", F.coalesce("_to", "root").alias("root")), "roots")
+        steps.append(step)
         a, b = step.select(F.col("node").alias("a"), F.col("to").alias("_a")), step.select(F.col("node").alias("b"), F.col("to").alias("_b"))
         edges = materialise(edges.join(a, "a").join(b, "b").filter("_a != _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "edges")
         if edges.isEmpty():
-            return roots
+            break
+    roots = steps[0].select("node", F.col("to").alias("root"))
+    for step in steps[1:]:
+        roots = roots.join(step.withColumnsRenamed({"node": "root", "to": "_to"}), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return materialise(roots, "roots")

@@ -147,7 +147,7 @@ def set_heads(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> Data
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(sid, tokens) of the wanted sets, each computed anew from the one document that stands for it (sid, doc_id, row_key)."""
-    keys = wanted.select(F.col("sid").alias("want"), "doc_id", "row_key")
+    keys = materialise(wanted.select(F.col("sid").alias("want"), "doc_id", "row_key"), "wanted")
     few = at_most(keys, BROADCAST_IDS)
     rows = docs.join(broadcast_if(keys, few), ["doc_id", "row_key"]).select("want", "text")
 
@@ -203,19 +203,13 @@ def set_components(docs: DataFrame, facts: DataFrame, *, n: int, percent: int) -
     live = _one_list_each(entries).join(owners.select("sid", "copies"), "sid").withColumn("root", F.col("sid"))
     live = materialise(live, "lists")
 
-    links, roots = None, None
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
     for k in range(ROUNDS):
         live, new = _pivot_round(docs, owners, heads, live, n, percent, k)
-        if new.isEmpty():
-            break
-        links = new if links is None else links.union(new)
-        roots = components(links)
-        live = _unsettled(live, roots)
+        links = links.union(new)
+        live = _unsettled(live, links)
     pairs = materialise(possible(_open_pairs(live, percent), heads, percent), "pairs")
-    new = materialise(_accepted(overlaps(docs, owners, pairs, n), percent), "links")
-    if not new.isEmpty():
-        roots = components(new if links is None else links.union(new))
-    return docs.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
+    return components(links.union(_accepted(overlaps(docs, owners, pairs, n), percent)))
 
 
 def _skip_blocks(entries: DataFrame, percent: int) -> DataFrame:
@@ -247,9 +241,11 @@ def _accepted(known: DataFrame, percent: int) -> DataFrame:
     return known.filter(linked(F.col("both"), F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
 
 
-def _unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
-    """List entries under their components so far, without the lists that lie in one component."""
-    live = live.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+def _unsettled(live: DataFrame, links: DataFrame) -> DataFrame:
+    """List entries under the smallest set that they or their neighbours name, without the lists that lie under one. Sets under
+    one name are in one component; that some of a component bear different names costs comparisons only."""
+    named = links.union(links.select("b", "a")).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    live = live.drop("root").join(named.withColumnRenamed("a", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     ends = live.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi").select("token")
     return materialise(live.join(ends, "token", "left_semi"), "live")
 
