@@ -9,6 +9,7 @@ against each other. A group of m near copies therefore costs about m comparisons
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from math import log
 
@@ -173,12 +174,16 @@ def with_both(pairs: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
+def at_most_common(a_n: Column, a_head: Column, b_n: Column, b_head: Column) -> Column:
+    """An upper bound of an intersection: the head that ends first in the global order holds all shared tokens up to its end,
+    so it is what both heads share and the longer rest."""
+    return F.least(F.size(F.array_intersect(a_head, b_head)) + F.greatest(a_n - F.size(a_head), b_n - F.size(b_head)), a_n, b_n)
+
+
 def possible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose heads leave room for ``percent`` of similarity. The head that ends first in the global order holds all
-    shared tokens up to its end, so what both heads share and the longer rest bound the intersection."""
+    """The pairs whose heads leave room for ``percent`` of similarity."""
     a_n, b_n = F.col("a_n"), F.col("b_n")
-    rest = F.greatest(a_n - F.size("a_head"), b_n - F.size("b_head"))
-    most = F.least(F.size(F.array_intersect("a_head", "b_head")) + rest, a_n, b_n)
+    most = at_most_common(a_n, F.col("a_head"), b_n, F.col("b_head"))
     return with_both(pairs, heads, "head").filter(linked(most, a_n, b_n, percent)).select(*pairs.columns)
 
 
@@ -207,8 +212,8 @@ def set_components(docs: DataFrame, facts: DataFrame, *, n: int, percent: int) -
     for k in range(ROUNDS):
         live, new = _pivot_round(docs, owners, heads, live, n, percent, k)
         links = links.union(new)
-        live = _unsettled(live, links)
-    pairs = materialise(possible(_open_pairs(live, percent), heads, percent), "pairs")
+        live = _unsettled(live, components(links))
+    pairs = materialise(_open_pairs(live, heads, percent), "pairs")
     return components(links.union(_accepted(overlaps(docs, owners, pairs, n), percent)))
 
 
@@ -241,20 +246,19 @@ def _accepted(known: DataFrame, percent: int) -> DataFrame:
     return known.filter(linked(F.col("both"), F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
 
 
-def _unsettled(live: DataFrame, links: DataFrame) -> DataFrame:
-    """List entries under the smallest set that they or their neighbours name, without the lists that lie under one. Sets under
-    one name are in one component; that some of a component bear different names costs comparisons only."""
-    named = links.union(links.select("b", "a")).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    live = live.drop("root").join(named.withColumnRenamed("a", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+def _unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """List entries under their components so far, without the lists that lie in one component."""
+    live = live.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     ends = live.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi").select("token")
     return materialise(live.join(ends, "token", "left_semi"), "live")
 
 
 def _pivot_round(docs: DataFrame, owners: DataFrame, heads: DataFrame, live: DataFrame, n: int, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Compare each list's pivot with all members outside its component. Returns the entries with a mark ``m{k}`` (3 the
-    pivot, 1 linked to it, 2 too far from it to link to anything linked to it, else 0) and the new links.
+    """Compare each set with one pivot: the one that most of its lists name. Returns the entries with a mark ``m{k}`` (1 the
+    list's pivot or linked to it, 2 too far from it to link to anything linked to it, else 0) and the new links.
 
-    The pivot is the set with most copies; after the first round, of the list's smallest component.
+    A list's pivot is the set with most copies; after the first round, of the list's smallest component. One comparison a
+    set keeps a round linear in the sets, however many lists near copies share.
     """
     tops = live.groupBy("token", "root").agg(F.count("*").alias("_size"), F.max(F.struct("copies", (-F.col("n")).alias("_n"), "sid")).alias("_top"))
     best = F.max("_top") if k == 0 else F.min(F.struct("_size", "_top"))["_top"]
@@ -265,26 +269,32 @@ def _pivot_round(docs: DataFrame, owners: DataFrame, heads: DataFrame, live: Dat
         pivots = pivots.withColumn("b_root", F.col("b"))
     beside = materialise(live.join(pivots, "token"), "beside")
     near_size = 100 * F.least("n", "b_n") >= (2 * percent - 100) * F.greatest("n", "b_n")
-    pairs = beside.filter(near_size & (F.col("root") != F.col("b_root"))).select(F.col("sid").alias("a"), "b", F.col("n").alias("a_n"), "b_n").distinct()
+    asked = beside.filter(near_size & (F.col("root") != F.col("b_root"))).groupBy(F.col("sid").alias("a"), "b").agg(
+        F.count("*").alias("_lists"), F.first("n").alias("a_n"), F.first("b_n").alias("b_n"))
+    pairs = asked.groupBy("a").agg(F.max(F.struct("_lists", "b", "a_n", "b_n")).alias("_p")).select("a", "_p.b", "_p.a_n", "_p.b_n")
+    pairs = materialise(pairs, "asked")
     close = materialise(possible(pairs, heads, 2 * percent - 100), "close")
     known = materialise(overlaps(docs, owners, close, n), "known")
     a_n, b_n, both = F.col("a_n"), F.col("b_n"), F.col("both")
-    marks = known.select(F.col("a").alias("sid"), "b", F.when(linked(both, a_n, b_n, percent), 1).when(
-        linked(both, a_n, b_n, 2 * percent - 100), 0).otherwise(2).alias("_mark"))
-    asked = near_size & (F.col("root") != F.col("b_root"))
-    mark = F.when(F.col("sid") == F.col("b"), 3).when(asked, F.coalesce("_mark", F.lit(2))).when(near_size, 0).otherwise(2)
+    level = F.when(linked(both, a_n, b_n, percent), 1).when(linked(both, a_n, b_n, 2 * percent - 100), 0).otherwise(2)
+    marks = pairs.join(known.select("a", "b", level.alias("_level")), ["a", "b"], "left").select(
+        F.col("a").alias("sid"), "b", F.coalesce("_level", F.lit(2)).alias("_mark"))
+    mark = F.when(F.col("sid") == F.col("b"), 1).when(near_size, F.coalesce("_mark", F.lit(0))).otherwise(2)
     marked = beside.join(marks, ["sid", "b"], "left").withColumn(f"m{k}", mark).drop("b", "b_n", "b_root", "_mark")
     return marked, _accepted(known, percent)
 
 
-def _open_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """The pairs that no pivot answers: of different components, possible by size."""
-    marks = [c for c in live.columns if c.startswith("m")]
+def _open_pairs(live: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs that no pivot answers: of different components, possible by size and by heads. The heads are part of the join's
+    condition, so pairs that they rule out never leave it."""
+    live = live.join(heads.select("sid", "head"), "sid")
+    marks = [c for c in live.columns if re.fullmatch(r"m\d+", c)]
     b = live.select("token", *(F.col(c).alias(f"_{c}") for c in live.columns if c != "token"))
     a_n, b_n = F.col("n"), F.col("_n")
     fits = (F.col("sid") < F.col("_sid")) & (F.col("root") != F.col("_root")) & (100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n))
     for m in marks:
-        fits = fits & (F.col(m) != 3) & (F.col(f"_{m}") != 3) & ~(((F.col(m) == 1) & (F.col(f"_{m}") == 2)) | ((F.col(m) == 2) & (F.col(f"_{m}") == 1)))
+        fits = fits & ~(((F.col(m) == 1) & (F.col(f"_{m}") == 2)) | ((F.col(m) == 2) & (F.col(f"_{m}") == 1)))
+    fits = fits & linked(at_most_common(a_n, F.col("head"), b_n, F.col("_head")), a_n, b_n, percent)
     return live.join(b, "token").filter(fits).select(F.col("sid").alias("a"), F.col("_sid").alias("b"), F.col("n").alias("a_n"), F.col("_n").alias("b_n")).distinct()
 
 
