@@ -59,7 +59,7 @@ def train_ftrl(texts: list[bytes], labels: list[int], s: Settings) -> np.ndarray
     for text in texts:
         _, feats, size = hashed_ngrams([text])
         at, count = np.unique(feats, return_counts=True)
-        rows.append((np.append(at, 1 << BITS), np.append(count / np.sqrt(max(1, size[0])), 1.0)))
+        rows.append((np.append(at, 1 << BITS).astype(np.int32), np.append(count / np.sqrt(max(1, size[0])), 1.0).astype(np.float32)))
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         pull = np.sign(zi) * s.l1 - zi
         return np.where(np.abs(zi) <= s.l1, 0.0, pull / ((s.beta + np.sqrt(ni)) / s.alpha + s.l2))
@@ -100,7 +100,7 @@ def score(docs: DataFrame, model: np.ndarray, *carry: str, into: str = "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             rows, feats, size = hashed_ngrams(utf8(batch.column("text")))
             dot = np.bincount(rows, w[feats], batch.num_rows) / np.sqrt(np.maximum(size, 1)) + w[-1]
             p = 1 / (1 + np.exp(-np.clip(dot, -30, 30)))

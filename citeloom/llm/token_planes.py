@@ -32,7 +32,7 @@ MAGIC, VERSION = b"CLTP", 1
 HEADER = struct.Struct("<4sHHIQII")
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 350_000
 SHARD_SCHEMA = "range int, shard int, before long, ids long, first_doc long, payload binary"
 
 
