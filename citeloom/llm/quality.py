@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,19 +53,18 @@ def hashed_ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate([rows, rows[1:][same]]), np.concatenate([one, two]), 2 * it.lens - (it.lens > 0)
 
 
-def train_ftrl(texts: list[bytes], labels: list[int], s: Settings) -> np.ndarray:
-    """Weights by FTRL-proximal over the rows in the order given; the last entry is the bias."""
+def train_ftrl(texts: Callable[[], Iterable[bytes]], labels: list[int], s: Settings) -> np.ndarray:
+    """Weights by FTRL-proximal over the rows in the order given; the last entry is the bias. ``texts`` gives the texts anew
+    for each pass, so that no more than one text's features are held."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    rows = []
-    for text in texts:
-        _, feats, size = hashed_ngrams([text])
-        at, count = np.unique(feats, return_counts=True)
-        rows.append((np.append(at, 1 << BITS).astype(np.int32), np.append(count / np.sqrt(max(1, size[0])), 1.0).astype(np.float32)))
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         pull = np.sign(zi) * s.l1 - zi
         return np.where(np.abs(zi) <= s.l1, 0.0, pull / ((s.beta + np.sqrt(ni)) / s.alpha + s.l2))
     for _ in range(s.passes):
-        for (at, x), y in zip(rows, labels, strict=True):
+        for text, y in zip(texts(), labels, strict=True):
+            _, feats, size = hashed_ngrams([text])
+            at, count = np.unique(feats, return_counts=True)
+            at, x = np.append(at, 1 << BITS), np.append(count / np.sqrt(max(1, size[0])), 1.0)
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - y) * x
@@ -86,8 +86,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, s
         F.min("text").alias("text"), F.first("label").alias("label"))
 
     def train(table):
-        table = table.sort_by([("_order", "ascending"), ("doc_id", "ascending")])
-        w = train_ftrl(utf8(table.column("text").combine_chunks()), table.column("label").to_pylist(), settings)
+        rows = pc.sort_indices(table, [("_order", "ascending"), ("doc_id", "ascending")]).to_pylist()
+        text, label = table.column("text").cast(pa.binary()), table.column("label").to_pylist()
+        w = train_ftrl(lambda: (text[i].as_py() or b"" for i in rows), [label[i] for i in rows], settings)
         return pa.table({"weights": pa.array([w.tobytes()], pa.binary())})
 
     return np.frombuffer(group_arrow(rows.groupBy(F.lit(0).alias("_all")), train, "weights binary").first()[0], np.float32)

@@ -80,7 +80,7 @@ def test_accepted_keeps_columns(spark, docs_of, words):
 
 
 def test_ftrl_reaches_a_separable_fit():
-    w = q.train_ftrl([b"good fine"] * 20 + [b"bad ugly"] * 20, [1] * 20 + [0] * 20, q.Settings(passes=5))
+    w = q.train_ftrl(lambda: [b"good fine"] * 20 + [b"bad ugly"] * 20, [1] * 20 + [0] * 20, q.Settings(passes=5))
     rows, feats, size = q.hashed_ngrams([b"good fine", b"bad ugly"])
     dots = np.bincount(rows, w[feats], 2) / np.sqrt(size) + w[-1]
     assert dots[0] > 0 > dots[1]
