@@ -2,7 +2,7 @@
 
 A node of the tree is a path of block elements with their classes. Its presentation importance is the entropy of its child
 sequences over the host's pages, the content importance of its leaves is one minus the mean entropy of their texts: what
-looks and reads alike on every page is noise. Elements whose tag, role or class names them as menus, adverts and the like are
+looks and reads alike on every page is noise. A branch goes only if it and all nodes below it are of low importance. Elements whose tag, role or class names them as menus, adverts and the like are
 noise whatever their entropy. Pages that are equal throughout count once, so copies of one page do not make it a template.
 """
 
@@ -41,6 +41,8 @@ CLOSED_BY = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt", ("dl",)), "dd": ("
              "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table"))}
 
 MAX_DEPTH = 32
+#: Ends the path of an element whose own texts are of low importance while elements below it are not.
+OWN_TEXTS = "/"
 #: Hosts broadcast with their noise branches up to this many; beyond it pages and hosts meet in a shuffled join.
 BROADCAST_HOSTS = 50_000
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>?)", re.S)
@@ -198,7 +200,8 @@ class Page:
 
 
 def protected(path: str) -> bool:
-    """Branches that no entropy removes: the page, what leads to the article, and the article's plain elements."""
+    """Elements that no entropy removes, neither their own nor that of a wrapper: the page, the article, and the article's plain
+    elements."""
     tags = [re.split(r"[.#]", p)[0] for p in path.split("/")[1:]]
     if not tags or tags[-1] in ("html", "body", "article", "main"):
         return True
@@ -212,13 +215,18 @@ def main_text(page: Page, low: frozenset[str]) -> str:
     named = [b for b in page.blocks if not b.noise]
 
     def falls(path: str) -> bool:
+        if protected(path):
+            return False
+        if path + OWN_TEXTS in low:
+            return True
         while path:
-            if path in low:
+            if path in low and not protected(path):
                 return True
             path = path.rpartition("/")[0]
         return False
 
-    kept = [b for b in named if not falls(b.path)] if low else named
+    fallen = {path: falls(path) for path in {b.path for b in named}} if low else {}
+    kept = [b for b in named if not fallen[b.path]] if low else named
     kept = [b for b in kept if b.main] or [b for b in named if b.main] or [b for b in kept if 2 * b.links <= len(b.text)] or kept or named
     return "\n\n".join(b.text for b in kept)
 
@@ -248,10 +256,12 @@ def tree_rows(pages: DataFrame) -> DataFrame:
 
 
 def importance(rows: DataFrame, *, gamma: float = 0.9) -> DataFrame:
-    """(host, path, pages, importance) of each element node.
+    """(host, path, pages, importance, own, most) of each element node with text below.
 
     Presentation: the entropy of its child sequences, to the base of its number of pages. Content: one minus the mean entropy
     of the texts of all leaves below. The composite leans to presentation as the node has more variants (1 - gamma ^ variants).
+    ``own`` is the content importance of the element's own texts (null without any), ``most`` the highest importance of the node,
+    its own texts and all nodes below: a wrapper of many rare variants scores low whatever it holds.
     """
     seen = rows.groupBy("host", "path", "text", "feature").agg(F.count_distinct("page").cast("double").alias("k"))
     seen = materialise(seen, "features")
@@ -267,20 +277,24 @@ def importance(rows: DataFrame, *, gamma: float = 0.9) -> DataFrame:
         (1 - F.least(F.sum("_noise") / F.sum("_texts"), F.lit(1.0))).alias("content"))
     lean = F.pow(F.lit(gamma), F.col("variants"))
     score = F.when(F.col("presentation") > 0, (1 - lean) * F.col("presentation") + lean * F.col("content")).otherwise(F.col("content"))
-    return forms.join(below, ["host", "path"]).select("host", "path", "pages", score.alias("importance"))
+    nodes = forms.join(below, ["host", "path"]).select("host", "path", "pages", score.alias("importance")).join(
+        leaves.select("host", "path", (1 - F.least(F.col("_noise") / F.col("_texts"), F.lit(1.0))).alias("own")), ["host", "path"], "left")
+    most = nodes.select("host", F.explode(above).alias("path"), F.greatest("importance", "own").alias("_most")).groupBy("host", "path").agg(F.max("_most").alias("most"))
+    return nodes.join(most, ["host", "path"])
 
 
 def extract_text(pages: DataFrame, *, min_pages: int = 4, below: float = 0.3) -> DataFrame:
     """One row per page row: page_id, url, text and n_chars (code points).
 
-    A branch is removed from the pages of a host if it stands on ``min_pages`` different pages or more and its importance is
-    under ``below``. Character references are decoded, white space inside a block becomes one space, blocks are joined by two
+    A branch is removed from the pages of a host if it stands on ``min_pages`` different pages or more and its importance and
+    that of every node below it are under ``below``; if only its own texts are, these go alone. Character references are decoded, white space inside a block becomes one space, blocks are joined by two
     line breaks in page order. Null and empty html give an empty text; a null url has the host of urls without ``://``;
     repeated rows stay repeated and count once in the tree; other columns are ignored; an empty table gives an empty result.
     """
     rows = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     nodes = importance(tree_rows(rows)).filter((F.col("pages") >= min_pages) & (F.col("importance") < below))
-    low = materialise(nodes.groupBy("host").agg(F.collect_set("path").alias("low")), "low_branches")
+    nodes = nodes.withColumn("path", F.when(F.col("most") < below, F.col("path")).when(F.col("own") < below, F.concat("path", F.lit(OWN_TEXTS))))
+    low = materialise(nodes.filter("path IS NOT NULL").groupBy("host").agg(F.collect_set("path").alias("low")), "low_branches")
     joined = rows.join(broadcast_if(low, at_most(low, BROADCAST_HOSTS)), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +304,7 @@ def extract_text(pages: DataFrame, *, min_pages: int = 4, below: float = 0.3) ->
             for html, paths in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist()):
                 key = tuple(paths or ())
                 if key not in cache:
-                    cache[key] = frozenset(p for p in key if not protected(p))
+                    cache[key] = frozenset(key)
                     if len(cache) > 1000:
                         cache = {key: cache[key]}
                 texts.append(main_text(Page(html), cache[key]))

@@ -49,6 +49,29 @@ def test_article_survives_a_host_of_near_copies(spark, words):
     assert all(r.text == "\n\n".join([*base, str(r.page_id)]) for r in out)
 
 
+def test_wrapper_of_rare_variants_keeps_its_texts(spark, words):
+    box = "<div class='box'>The same words stand here on every page</div>"
+
+    def page(i, open_tag, close_tag):
+        rare = i // 5 if i < 100 else 0
+        extra = "".join(f"<{t}>{words(4)}</{t}>" for t in ("h2", "h3", "h4", "h5", "pre") if rare & 1 << "h2 h3 h4 h5 pre".split().index(t))
+        return f"<body>{open_tag}<p>{words(12)}</p>{extra}{close_tag}{box}</body>"
+
+    kinds = {"http://a.com": ("<article><div class='body'>", "</div></article>"), "http://b.com": ("<div id='content'>The same words of its own", "</div>")}
+    data = [(f"{host}/{i}", page(i, *tags)) for host, tags in kinds.items() for i in range(1000)]
+    low = {r.path for r in st.importance(st.tree_rows(rows(spark, data).withColumn("host", st.url_host("url")))).filter("importance < 0.3").collect()}
+    assert {"/body/article/div.body", "/body/div#content"} <= low
+    out = st.extract_text(rows(spark, data)).collect()
+    assert len(out) == 2000 and all(len(r.text.split()) >= 12 and "same words" not in r.text for r in out)
+    assert all(len(r.text.split("\n\n")) == 1 + bin(r.page_id % 1000 // 5 if r.page_id % 1000 < 100 else 0).count("1") for r in out)
+
+
+def test_plain_elements_of_an_article_never_fall_with_a_wrapper(spark, words):
+    base = [words(15) for _ in range(5)]
+    data = [("http://n.com/", f"<body><article><h1>{i}</h1><div class='body'>" + "".join(f"<p>{b}</p>" for b in base) + "</div></article></body>") for i in range(15)]
+    assert all(r.text == "\n\n".join([str(r.page_id), *base]) for r in st.extract_text(rows(spark, data)).collect())
+
+
 def test_shuffled_join_gives_the_same(spark, words, monkeypatch):
     data = [(f"http://h{i % 2}.com/{i}", f"<body><p>{words(12)}</p><div class='box'>same on all</div></body>") for i in range(16)]
     whole = sorted(map(tuple, st.extract_text(rows(spark, data)).collect()))
