@@ -3,7 +3,7 @@
 A node of the tree is a path of block elements with their classes. Its presentation importance is the entropy of its child
 sequences over the host's pages, the content importance of its leaves is one minus the mean entropy of their texts: what
 looks and reads alike on every page is noise. A branch goes only if it and all nodes below it are of low importance. Elements whose tag, role or class names them as menus, adverts and the like are
-noise whatever their entropy. Pages that are equal throughout count once, so copies of one page do not make it a template.
+noise whatever their entropy; a name that content may have too needs the branch to repeat on the host or to be mostly links. Pages that are equal throughout count once, so copies of one page do not make it a template.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ NOISE_WORDS = frozenset(
     "consent cookie cookies copyright disclaimer discussion disqus footer form gdpr header hidden legal login masthead menu modal nav navbar "
     "navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply "
     "respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: Names of this list that content has too.
+EVERYDAY = frozenset("alert banner comment cookies discussion disclaimer form header legal menu notice notices promotion recommended related replies reply "
+                     "respond search share sharing social sponsor subscription".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption hgroup".split())
 CLOSED_BY = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt", ("dl",)), "dd": ("dd", ("dl",)), "tr": ("tr", ("table",)),
              "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table"))}
@@ -57,6 +60,7 @@ class Node:
     depth: int
     noise: bool
     main: bool
+    named: tuple[Node, ...] = ()  # the nodes from the root to this one whose name alone does not decide
     children: list[str] = field(default_factory=list)
 
 
@@ -67,25 +71,34 @@ class Block:
     noise: bool
     main: bool
     links: int
+    named: tuple[Node, ...] = ()
 
 
-def marked(tag: str, attrs: str) -> tuple[str, bool]:
-    """The element's name in the tree (tag, classes and id without digits), and whether its attributes name it as noise."""
+def marked(tag: str, attrs: str, main: bool = False) -> tuple[str, bool, bool]:
+    """The element's name in the tree (tag, classes and id without digits), whether its attributes name it as noise, and
+    whether they hold a name that needs evidence: an everyday word, or inside an article (``main``) a word within a longer
+    class or id. The ids of plain elements and sections come from their headings; only a section's whole id may decide."""
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return tag, False
-    label, noise = tag, False
+        return tag, False, False
+    label, noise, maybe = tag, False, False
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
             label += ("." if name == "class" else "#") + " ".join(sorted(re.sub(r"\d+", "", value).split()))[:80].replace("/", "")
-            noise |= any(w.lower() in NOISE_WORDS for w in _WORDS.findall(value))
+            found = {w.lower() for w in _WORDS.findall(value)} & NOISE_WORDS
+            if not found or name == "id" and tag in PLAIN:
+                continue
+            headed = name == "id" and tag == "section"
+            noise |= bool((found if not main and not headed else found & set(value.lower().split())) - EVERYDAY)
+            maybe |= not headed
         elif name == "role":
             noise |= value.lower() in NOISE_ROLES
         elif name == "style":
             noise |= "display:none" in value.replace(" ", "").lower()
         else:
             noise |= name == "hidden" or value.lower() == "true"
-    return label, noise and tag not in ("html", "body", "article", "main")
+    inner = tag not in ("html", "body", "article", "main")
+    return label, noise and inner, maybe and inner and not noise
 
 
 class Page:
@@ -105,7 +118,7 @@ class Page:
             text = " ".join(entities.unescape("".join(self.held)).split())
             if text:
                 top = self.stack[-1]
-                self.blocks.append(Block(top.path, text, top.noise, top.main, self.link_chars))
+                self.blocks.append(Block(top.path, text, top.noise, top.main, self.link_chars, top.named))
             self.held, self.link_chars = [], 0
 
     def pop(self) -> None:
@@ -114,12 +127,15 @@ class Page:
 
     def push(self, tag: str, attrs: str) -> None:
         top = self.stack[-1]
-        label, noise = marked(tag, attrs)
+        label, noise, maybe = marked(tag, attrs, top.main)
         if not top.children or top.children[-1] != label:
             top.children.append(label)
         depth = top.depth + 1
         noise = noise or tag in NOISE_TAGS or tag == "header" and not top.main
-        self.stack.append(Node(tag, f"{top.path}/{label}" if depth <= MAX_DEPTH else top.path, depth, top.noise or noise, top.main or tag in ("article", "main")))
+        node = Node(tag, f"{top.path}/{label}" if depth <= MAX_DEPTH else top.path, depth, top.noise or noise, top.main or tag in ("article", "main"), top.named)
+        if maybe and depth <= MAX_DEPTH:
+            node.named += (node,)
+        self.stack.append(node)
 
     def close_for(self, tag: str) -> None:
         if self.stack[-1].tag == "p":
@@ -175,7 +191,7 @@ class Page:
                         self.push(tag, attrs)
                 else:
                     self.leave(tag)
-            elif not closing and tag not in VOID and marked(tag, attrs)[1]:
+            elif not closing and tag not in VOID and any(marked(tag, attrs, self.stack[-1].main)[1:]):
                 self.flush()
                 self.push(tag, attrs)
                 open_tags[tag] = open_tags.get(tag, 0) + 1
@@ -195,8 +211,8 @@ class Page:
                 break
 
     def digest(self) -> int:
-        """Of all text that is not noise by name: pages equal in it are copies."""
-        return xxhash.xxh3_64_intdigest("\n".join(b.text for b in self.blocks if not b.noise)) - 2**63
+        """Of all text without a name of noise: pages equal in it are copies."""
+        return xxhash.xxh3_64_intdigest("\n".join(b.text for b in self.blocks if not b.noise and not b.named)) - 2**63
 
 
 def protected(path: str) -> bool:
@@ -210,9 +226,20 @@ def protected(path: str) -> bool:
 
 def main_text(page: Page, low: frozenset[str]) -> str:
     """The page's text: blocks of its article or main element (of the whole page, if there is none) without noise by name and
-    without the host's low-importance branches; if these hold all the text, they stay. Without an article, blocks
-    that are mostly links go too."""
-    named = [b for b in page.blocks if not b.noise]
+    without the host's low-importance branches; if these hold all the text, they stay. Branches with a name that needs
+    evidence go if they are mostly links or of low importance. Without an article, blocks that are mostly links go too."""
+    size: dict[int, list[int]] = {}
+    for b in page.blocks:
+        for node in b.named:
+            chars = size.setdefault(id(node), [0, 0])
+            chars[0] += len(b.text)
+            chars[1] += b.links
+
+    def told(node: Node) -> bool:
+        chars, links = size[id(node)]
+        return 2 * links > chars or node.path in low
+
+    named = [b for b in page.blocks if not b.noise and not any(map(told, b.named))]
 
     def falls(path: str) -> bool:
         if protected(path):

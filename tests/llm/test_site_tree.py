@@ -27,6 +27,16 @@ def test_tag_soup_and_cut_pages():
         "Text of a page without article, long enough to stay.")
 
 
+def test_everyday_names_alone_do_not_decide():
+    parts = ("<div class='entry-header'><h1>Title</h1></div>", "<section id='discussion'><h2 id='social-security'>Head</h2><p>Found</p></section>",
+             "<section id='related-work'><p>Others</p></section>", "<section id='comments-on-method'><p>Ours</p></section>", "<p class='notice'>Mind</p>",
+             "<h3 id='legal-history'>Law</h3>", "<div class='ad-hoc'><p>Nets</p></div>")
+    body = "".join(parts)
+    want = "Title\n\nHead\n\nFound\n\nOthers\n\nOurs\n\nMind\n\nLaw\n\nNets"
+    assert text(SHELL.format(body=f"<article>{body}<div class='related-posts'>See <a href='/1'>one more</a></div><div class='hidden'>x</div></article>")) == want
+    assert text(f"<body><div id='content'>{''.join(parts[:6])}</div></body>") == want[:-6]
+
+
 def rows(spark, data):
     return spark.createDataFrame([(i, u, h, "x", "y") for i, (u, h) in enumerate(data)], "page_id long, url string, html string, host string, low string")
 
@@ -72,6 +82,14 @@ def test_plain_elements_of_an_article_never_fall_with_a_wrapper(spark, words):
     assert all(r.text == "\n\n".join([str(r.page_id), *base]) for r in st.extract_text(rows(spark, data)).collect())
 
 
+def test_everyday_names_go_where_the_branch_repeats(spark, words):
+    box = "<div class='share-box'><p>Tell your friends of it</p></div>"
+    data = [(f"http://e.com/{i}", f"<body><article><section id='discussion'><p>{words(20)}</p></section><div class='legal-text'><p>{words(9)}</p></div>{box}</article></body>")
+            for i in range(12)]
+    out = st.extract_text(rows(spark, data)).collect()
+    assert all(len(r.text.split()) == 29 and "friends" not in r.text for r in out)
+
+
 def test_shuffled_join_gives_the_same(spark, words, monkeypatch):
     data = [(f"http://h{i % 2}.com/{i}", f"<body><p>{words(12)}</p><div class='box'>same on all</div></body>") for i in range(16)]
     whole = sorted(map(tuple, st.extract_text(rows(spark, data)).collect()))
