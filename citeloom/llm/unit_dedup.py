@@ -1,7 +1,8 @@
 """Substring dedup by unit hashing: digests of normalised units are grouped over all documents, the earliest keeps its place.
 
 Units are lines, and blocks: from each sentence on, the fewest whole sentences that hold ``block_words`` words. A passage
-that repeats in the middle of different lines shares no line, but shares the blocks of its own sentences.
+that repeats in the middle of different lines shares no line, but shares the blocks of its own sentences. A passage inside one
+sentence shares neither; for it there are runs of words whose borders come from the words themselves.
 """
 
 from __future__ import annotations
@@ -36,8 +37,35 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out + [(start, n)] if start < n else out
 
 
+def word_runs(text: str, block_words: int = BLOCK_WORDS) -> Iterator[tuple[int, int, int]]:
+    """(start, end, digest) of runs of words: borders lie before the word of least hash (the last of equals) of every window of
+    half a block, and from each border a run reaches to the first border ``block_words`` words on or later. Two texts that share
+    two and a half blocks of words share a run. Runs of one word over and over are none."""
+    data = plain(text)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed=2) for w in data.split()), np.uint64)
+    n, window = len(hashes), max(1, block_words // 2)
+    if n < block_words:
+        return
+    least = window - 1 - np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1].argmin(1)
+    borders = np.unique(least + np.arange(len(least)))
+    ends = np.searchsorted(borders, borders + block_words, "left")
+    first, last = borders[ends < len(borders)], borders[ends[ends < len(borders)]]
+    turns = np.concatenate([[0], np.cumsum(hashes[1:] != hashes[:-1])])
+    varied = turns[last - 1] > turns[first]
+    first, last = first[varied], last[varied]
+    power, back = _powers(n)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power)])
+        digests = (sums[last] - sums[first]) * back[first]
+    raw = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], raw != 32, [False]]).astype(np.int8)))
+    chars = np.concatenate([[0], np.cumsum(raw & 0xC0 != 0x80)])
+    yield from zip(chars[edges[::2][first]].tolist(), chars[edges[1::2][last - 1]].tolist(), digests.tolist())
+
+
 def units(text: str, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> Iterator[tuple[int, int, int]]:
-    """(start, end, digest) of the lines and blocks of a text; digests ignore case, marks and white space."""
+    """(start, end, digest) of the lines, blocks and runs of a text; digests ignore case, marks and white space."""
+    yield from word_runs(text, block_words)
     at = 0
     for line in text.split("\n"):
         words = plain(line).split()

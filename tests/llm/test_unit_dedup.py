@@ -34,6 +34,24 @@ def test_spans_match_single_pass(docs_of, words):
     assert sentence in got[0][1] and sentence not in got[5][1]
 
 
+def test_passage_inside_one_sentence(docs_of, words):
+    passage = words(70)
+    rows = [(i, f"É {words(30)} {passage if i % 2 else passage.upper()} {words(25)}") for i in range(8)]
+    got = {r.doc_id: r.text for r in ud.dedup_units(docs_of(rows)).collect()}
+    assert got[0] == rows[0][1]
+    for i in range(1, 8):
+        left = got[i].lower().split()
+        assert left[:31] == rows[i][1].lower().split()[:31] and left[-25:] == rows[i][1].lower().split()[-25:]
+        assert len(left) - 56 <= 30
+
+
+def test_every_shared_window_shares_a_run(words):
+    for _ in range(200):
+        passage = words(50)
+        a, b = ({d for *_, d in ud.word_runs(f"{words(40)} {passage} {words(40)}")} for _ in range(2))
+        assert a & b
+
+
 def test_odd_rows(docs_of, words):
     text = words(40)
     rows = [(2, text), (2, text), (None, text), (3, None), (4, ""), (5, text.upper()), (6, "x " * 60000)]
