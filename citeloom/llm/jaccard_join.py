@@ -118,9 +118,18 @@ def frequency_levels(facts: DataFrame) -> np.ndarray:
     return np.ceil(np.log2(total.reshape(-1) + 1.0)).astype(np.uint8)
 
 
+def prints(tokens: np.ndarray) -> np.ndarray:
+    """Short prints of a head's tokens, up to the first print that repeats: an intersection counts equal prints once, and a
+    shorter head only loosens the bound."""
+    short = tokens.astype(np.uint32)
+    order = np.argsort(short, kind="stable")
+    again = order[1:][short[order][1:] == short[order][:-1]]
+    return short[:again.min() if len(again) else len(short)].view(np.int32)
+
+
 def set_heads(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataFrame:
     """One row per distinct set: sid, n, its prefix (tokens, rarest first in the global order) and its head, short prints of a
-    longer prefix. A print stands for its token in upper bounds only, where an accidental match does no harm."""
+    longer prefix. A print stands for its token in upper bounds only, where an accidental match of two sets does no harm."""
     held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +145,7 @@ def set_heads(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> Data
                 sids.append(sid)
                 sizes.append(len(s))
                 prefixes.append(first[:prefix_length(len(s), percent)].view(np.int64))
-                heads.append(first.astype(np.uint32).view(np.int32))
+                heads.append(prints(first))
             if sids:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int32()))],

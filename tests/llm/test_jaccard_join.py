@@ -95,3 +95,13 @@ def test_first_of_groups_keeps_one_row_each(docs_of, words):
     kept = sorted(((r.doc_id if r.doc_id is not None else -1), r.text or "") for r in got.collect())
     want = sorted([(1, a), (-1, b), (7, ""), (7, ""), (8, ""), (1, rows[8][1]), (9, rows[9][1])])
     assert kept == want
+
+
+def test_equal_prints_in_a_head_keep_the_bound(spark):
+    import numpy as np
+
+    tokens = np.array([1, 2, 1 + 2**32, 3, 2 + 2**33], np.uint64)
+    head = jj.prints(tokens).tolist()
+    row = spark.createDataFrame([(5, head, 5, head)], "a int, ah array<int>, b int, bh array<int>")
+    assert row.select(jj.at_most_common(row.a, row.ah, row.b, row.bh)).first()[0] == 5
+    assert jj.prints(tokens[:2]).tolist() == [1, 2] and not len(jj.prints(tokens[:0]))
