@@ -73,6 +73,14 @@ ORACLE["op9_source_mix"] = "with " + _MIX + """
 select doc_id, source, size, source_size, target, (copies * size)::bigint as taken, epochs from mixed
 """
 
+ORACLE["op11_digest_runs"] = r"""
+with bare as (select doc_id, length(coalesce(text, '')) as points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
+ranked as (
+  select doc_id, norm, first_value(doc_id) over (partition by norm order by points desc, doc_id) as keep_id, count(*) over (partition by norm) as group_size
+  from bare)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from ranked
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

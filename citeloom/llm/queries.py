@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import hmm_lm, jaccard_join, leaks, mixing, quality, site_tree, token_planes, unit_dedup, url_templates, vector_forest
+from citeloom.llm import digest_runs, hmm_lm, jaccard_join, leaks, mixing, quality, site_tree, token_planes, unit_dedup, url_templates, vector_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,6 +75,11 @@ def op1_site_tree(spark: SparkSession, root: str) -> DataFrame:
     return site_tree.extract_text(read(spark, root, "pages"))
 
 
+@query
+def op11_digest_runs(spark: SparkSession, root: str) -> DataFrame:
+    return digest_runs.exact_copies(read(spark, root, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
     import corpus_pipeline
