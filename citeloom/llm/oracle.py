@@ -81,6 +81,36 @@ ranked as (
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from ranked
 """
 
+ORACLE["op13_prefix_audit"] = r"""
+with docs as (
+  select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+words as (
+  select rid, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+  from docs),
+kept as (select lang, term, count(*) as lang_n from words group by lang, term having count(distinct rid) >= 10),
+v as (select lang, count(*)::hugeint as v, sum(lang_n)::hugeint as lang_total from kept group by lang),
+grp as (select distinct lang, source from docs),
+own as (select lang, source, term, count(*) as n from words semi join kept using (lang, term) group by all),
+total as (select lang, source, sum(n)::hugeint as total from own group by all),
+shares as (
+  select g.lang, g.source, k.term, coalesce(n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(n, 0) + 2)) // (coalesce(total, 0) + 2 * v) as p,
+    1 + (1000000000::hugeint * (lang_n + 2)) // (lang_total + 2 * v) as q
+  from grp g join kept k using (lang) join v using (lang) left join total t on t.lang = g.lang and t.source = g.source
+    left join own o on o.lang = g.lang and o.source = g.source and o.term = k.term),
+other as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from grp a join grp b on a.lang = b.lang and a.source <> b.source
+    left join other o on o.lang = a.lang and o.source = a.source and o.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from shares where n > 0 and p > q),
+numbered as (
+  select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from (select * from pairs union all select * from terms))
+select * from numbered where part = 'pair' or rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import digest_runs, hmm_lm, jaccard_join, leaks, mixing, quality, site_tree, token_lockstep, token_planes, unit_dedup, url_templates, vector_forest
+from citeloom.llm import digest_runs, hmm_lm, jaccard_join, leaks, mixing, prefix_audit, quality, site_tree, token_lockstep, token_planes, unit_dedup, url_templates, vector_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +85,11 @@ def op12_token_lockstep(spark: SparkSession, root: str) -> DataFrame:
     return token_lockstep.alignment_digests(read(spark, root, "documents"))
 
 
+@query
+def op13_prefix_audit(spark: SparkSession, root: str) -> DataFrame:
+    return prefix_audit.divergences(read(spark, root, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
     import corpus_pipeline
