@@ -92,7 +92,7 @@ def test_shares_beyond_a_long(spark):
     row = spark.range(1).select(F.lit(big).alias("n"), F.lit(3 * big).alias("total"), F.lit(5).cast("long").alias("v"))
     assert row.select(pa.share("n", "total", "v")).first()[0] == 1 + 10**9 * (big + 2) // (3 * big + 10)
     p, q = 10**9 + 1, 1
-    assert spark.range(1).select(pa.distance(F.lit(p), F.lit(q))).first()[0] == (p - q) ** 2 // (p + q)
+    assert spark.range(1).select(pa.distance(F.lit(p).cast("long"), F.lit(q).cast("long"))).first()[0] == (p - q) ** 2 // (p + q)
 
 
 def test_hashes_agree_with_spark(spark):
