@@ -1,7 +1,7 @@
 """Source divergence audit: which sources of a language write unlike each other, and by which terms.
 
 Terms that too few documents hold are never counted in full: an iceberg search walks down byte prefixes. Texts become blocks
-once (sorted distinct terms, and each document's terms with their counts). Level by level (2, 4, 8, ... bytes) the tasks count
+once (sorted distinct terms, and each document's terms with their counts). Level by level (4, 8, 16, ... bytes) the tasks count
 the distinct documents of every prefix whose shorter prefix survived, Spark adds the counts up and discards prefixes below the
 threshold; a term's last prefix ends with a zero byte, so it is complete, and the walk ends when no open prefix is left. Tasks
 learn the survivors from a bitmap of hashes of fixed size; a wrong hit only lets a prefix be counted once more before it goes,
@@ -28,9 +28,10 @@ from citeloom.session import at_most, broadcast_if, materialise, new_location
 
 MIN_DOCS = 10
 TOP_TERMS = 10
-FIRST_LENGTH = 2
+FIRST_LENGTH = 4
 BITMAP_BITS = 26
-HELD_ROWS = 400_000
+BLOCK_BYTES = 12 << 20
+WIDE_PREFIX = 256
 SMALL_GROUPS = 100_000
 #: A-Z lower-cased, letters and all bytes of characters beyond ASCII as they are, everything else white space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -45,7 +46,7 @@ def term_blocks(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("text").cast("string").alias("text"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", BLOCK_BYTES):
             texts, sources = utf8(batch.column("text")), batch.column("source").to_pylist()
             by_lang: dict[str, list[int]] = defaultdict(list)
             for at, lang in enumerate(batch.column("lang").to_pylist()):
@@ -104,9 +105,18 @@ def holds(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
 
 # -- refinement ---------------------------------------------------------------------------
 
-def prefix_of(term: bytes, length: int) -> bytes:
-    """The first ``length`` bytes of a term with its end mark; it is complete when it holds the mark."""
-    return (term + b"\0")[:length]
+def prefixes_of(terms: list[bytes], length: int) -> tuple[list[bytes], np.ndarray]:
+    """Distinct prefixes of sorted terms with their end marks, and the number of each term's prefix. A term shorter than
+    ``length`` is complete, so its prefix ends with the mark."""
+    if length <= WIDE_PREFIX:
+        cut = np.array(terms, f"S{length}")
+        new = np.r_[True, cut[1:] != cut[:-1]]
+        names = cut[new].tolist()
+    else:
+        cut = [t[:length] for t in terms]
+        new = np.array([True, *(x != y for x, y in zip(cut[1:], cut))])
+        names = [cut[i] for i in np.flatnonzero(new)]
+    return [p if len(p) == length else p + b"\0" for p in names], np.cumsum(new) - 1
 
 
 def open_terms(lang: str, terms: list[bytes], before: int, survivors: np.ndarray, bits: int) -> np.ndarray:
@@ -114,10 +124,8 @@ def open_terms(lang: str, terms: list[bytes], before: int, survivors: np.ndarray
     at = np.array([i for i, t in enumerate(terms) if len(t) >= before], np.int64)
     if not before or not len(at):
         return at
-    heads = [terms[i][:before] for i in at]
-    first = [0, *(i for i in range(1, len(heads)) if heads[i] != heads[i - 1])]
-    kept = holds(survivors, hashes(lang, [heads[i] for i in first]), bits)
-    return at[np.repeat(kept, np.diff([*first, len(heads)]))]
+    heads, group = prefixes_of([terms[i] for i in at], before)
+    return at[holds(survivors, hashes(lang, heads), bits)[group]]
 
 
 def prefix_documents(blocks: DataFrame, length: int, before: int, survivors: np.ndarray | None, bits: int) -> DataFrame:
@@ -125,35 +133,21 @@ def prefix_documents(blocks: DataFrame, length: int, before: int, survivors: np.
     sent = blocks.sparkSession.sparkContext.broadcast(survivors)  # 2^bits / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bytes], int] = defaultdict(int)
-
-        def flush() -> pa.RecordBatch:
-            keys = list(held)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()),
-                                              pa.array(list(held.values()), pa.int64())], names=["lang", "prefix", "docs"])
-            held.clear()
-            return out
-
         for batch in batches:
             for lang, joined, lens, term in zip(*(batch.column(c).to_pylist() for c in ("lang", "terms", "doc_terms", "term")), strict=True):
                 terms = terms_of(joined)
                 at = open_terms(lang, terms, before, sent.value, bits)
                 if not len(at):
                     continue
-                prefixes = [prefix_of(terms[i], length) for i in at]
-                first = [0, *(i for i in range(1, len(at)) if prefixes[i] != prefixes[i - 1])]
+                prefixes, number = prefixes_of([terms[i] for i in at], length)
                 group = np.full(len(terms), -1, np.int32)  # terms are sorted, so prefixes are numbered in order
-                group[at] = np.repeat(np.arange(len(first)), np.diff([*first, len(at)]))
+                group[at] = number
                 own, lens = group[numbers(term)], numbers(lens)
-                doc = np.repeat(np.arange(len(lens)), lens)[own >= 0]
+                doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)[own >= 0]
                 own = own[own >= 0]
-                new = np.r_[True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])] if len(own) else np.zeros(0, bool)
-                for i, n in zip(first, np.bincount(own[new], minlength=len(first)).tolist(), strict=True):
-                    held[lang, prefixes[i]] += n
-                if len(held) > HELD_ROWS:
-                    yield flush()
-        if held:
-            yield flush()
+                new = np.r_[True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])]
+                n = np.bincount(own[new], minlength=len(prefixes))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(prefixes, pa.binary()), pa.array(n)], names=["lang", "prefix", "docs"])
 
     rows = map_arrow(blocks.filter(F.col("longest") >= before).select("lang", "terms", "doc_terms", "term"), run, "lang string, prefix binary, docs long")
     return rows.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs"))
@@ -178,36 +172,35 @@ def kept_terms(blocks: DataFrame, *, min_docs: int = MIN_DOCS, first_length: int
 
 
 def term_counts(blocks: DataFrame, kept: DataFrame, *, bits: int = BITMAP_BITS) -> DataFrame:
-    """(lang, source, term, n): occurrences of kept terms, where there are any."""
+    """(lang, source, term, n): occurrences of kept terms, where there are any. A block sends one row per term with its
+    sources beside it; what one exchange by (lang, term) brings together is counted by source there."""
     sent = blocks.sparkSession.sparkContext.broadcast(bitmap_of(kept, bits, "term"))  # 2^bits / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
-
-        def flush() -> pa.RecordBatch:
-            rows = [(lang, source, t, n) for (lang, source), own in held.items() for t, n in own.items()]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.binary(), pa.int64()))],
-                                              names=["lang", "source", "term", "n"])
-
         for batch in batches:
             for lang, sources, joined, *data in zip(*(batch.column(c).to_pylist() for c in ("lang", "sources", "terms", "doc_source", "doc_terms", "term", "n")), strict=True):
                 terms = terms_of(joined)
-                if not terms:
-                    continue
                 doc_source, lens, term, n = map(numbers, data)
-                kept_here = holds(sent.value, hashes(lang, terms), bits)[term]
-                key, back = np.unique(np.repeat(doc_source.astype(np.int64), lens)[kept_here] * len(terms) + term[kept_here], return_inverse=True)
-                total = np.bincount(back, n[kept_here], len(key)).astype(np.int64) if len(key) else key
-                for s, t, c in zip(*(x.tolist() for x in (*np.divmod(key, len(terms)), total)), strict=True):
-                    held[lang, sources[s]][terms[t]] += c
-                if sum(map(len, held.values())) > HELD_ROWS:
-                    yield flush()
-        if held:
-            yield flush()
-
-    rows = map_arrow(blocks.drop("longest"), run, "lang string, source string, term binary, n long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept.select("lang", "term"), ["lang", "term"])
+                if not len(term):
+                    continue
+                mine = holds(sent.value, hashes(lang, terms), bits)[term]
+                key = term[mine] * np.int64(len(sources)) + np.repeat(doc_source, lens)[mine]
+                order = np.argsort(key, kind="stable")
+                key, first = np.unique(key[order], return_index=True)
+                if not len(key):
+                    continue
+                total = np.add.reduceat(n[mine][order].astype(np.int64), first)
+                at, source = np.divmod(key, len(sources))
+                begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                offsets = pa.array(np.r_[begin, len(key)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(begin), pa.string()), pa.array([terms[i] for i in at[begin]], pa.binary()),
+                    pa.ListArray.from_arrays(offsets, pa.array(sources, pa.string()).take(pa.array(source))), pa.ListArray.from_arrays(offsets, pa.array(total))],
+                    names=["lang", "term", "sources", "counts"])
+
+    rows = map_arrow(blocks.drop("longest"), run, "lang string, term binary, sources array<string>, counts array<long>")
+    rows = rows.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("c"))
+    return rows.groupBy("lang", "term", F.col("c.sources").alias("source")).agg(F.sum("c.counts").alias("n"))
 
 
 # -- divergence ---------------------------------------------------------------------------
