@@ -373,9 +373,8 @@ xl AS (SELECT l.question_id, l.citation AS fc, l.line_start AS fs, l.line_end AS
     out["assembled_paths"] = s.with_(*vocab, f"""
 ap AS (SELECT path_id, unnest(toks) AS term, unnest(range(len(toks))) AS pos FROM (SELECT 'documents/' || doc_id AS path_id, {s.tokens('text')} AS toks FROM documents)),
 aq AS (SELECT path_id, term, min(pos) AS pos FROM ap WHERE length(term) >= 3 AND term NOT IN ({s.quoted(fv.MAJOR_BLOCKED)}) AND regexp_matches(term, '\\p{{L}}') GROUP BY 1, 2),
-ar AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY pos) AS r FROM aq),
 a1 AS (SELECT 'documents/' || d.doc_id AS path_id, coalesce(list(term ORDER BY pos) FILTER (term IS NOT NULL), []) AS terms FROM documents d
-  LEFT JOIN (SELECT * FROM ar WHERE r <= 2) x ON x.path_id = 'documents/' || d.doc_id GROUP BY 1),
+  LEFT JOIN aq x ON x.path_id = 'documents/' || d.doc_id GROUP BY 1),
 a2 AS (SELECT path_id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM a1),
 bad AS (SELECT path_id, first(term ORDER BY pos) AS term FROM a2 LEFT JOIN v USING (term) WHERE NOT coalesce(meaningful, false) GROUP BY 1)""") + f"""
 SELECT path_id, CASE WHEN len(terms) = 0 THEN 'not_enough_evidence' WHEN bad.term IS NOT NULL THEN 'refused_unsupported_surface' ELSE 'assembled_from_anchor_path' END AS status,

@@ -172,7 +172,7 @@ def question_lexicon(t: Tables) -> DataFrame:
 @query
 def anchor_blocks(t: Tables) -> DataFrame:
     asked = t.packets.questions.select(F.explode("base_terms").alias("anchor")).distinct()
-    return lookup.anchor_blocks(t.docs.postings, asked).select(
+    return lookup.anchor_blocks(t.docs.posting_lists, t.docs.terms, asked, keys=t.packets.ranking.batch.base_anchors).select(
         "anchor", "block_ordinal", "occurrences", "block_rank", F.sha1(bar("positions").cast("binary")).alias("positions_hash"))
 
 
@@ -312,7 +312,7 @@ def chat_headers(t: Tables) -> DataFrame:
     text = ch.header_text(turn=meta["turn_index"], conversation_id=meta["conversation_id"], message_id=meta["message_id"],
                           title=F.concat(F.lit("Talk "), meta["conversation_id"]), created_at=F.date_format(meta["created_at"], "M/d/yyyy h:mm:ss a"),
                           speaker=F.upper(meta["speaker"]), body=F.col("text"), export="table", scope=F.lit("chat"))
-    rows = bl.with_headers(bl.split_documents(m.select("source_key", "source_path", text.alias("text"))))
+    rows = bl.split_documents(m.select("source_key", "source_path", text.alias("text")), headers=True)
     h = F.col("chat_metadata")
     return rows.select("source_path", F.col("block_index").cast("bigint").alias("block_index"), "line_start", "line_end",
                        *[h[c].alias(c) for c in ("conversation_id", "message_id", "title", "speaker", "turn_index", "lifetime_allowed", "time")],
@@ -498,8 +498,8 @@ def term_decisions(t: Tables) -> DataFrame:
 
 @query
 def assembled_paths(t: Tables) -> DataFrame:
-    """First telling terms of every document, said with the vocabulary of the conversations."""
-    paths = t.document_rows.select(F.col("source_path").alias("path_id"), rd.major_anchors(F.col("text"), 2).alias("terms"),
+    """All telling terms of every document, said with the vocabulary of the conversations."""
+    paths = t.document_rows.select(F.col("source_path").alias("path_id"), rd.major_anchors(F.col("text"), None).alias("terms"),
                                    F.array(F.concat(F.lit("["), "source_path", F.lit("]"))).alias("citations"))
     return vc.assemble_paths(paths, vc.build_vocabulary(t.chat.lexicon)).select(
         "path_id", "status", "surface", bar("terms").alias("terms"), bar("citations").alias("citations"), "refusal_reason")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,17 +14,27 @@ from citeloom.session import materialise, shuffle_partitions
 CARRY_SPAN = 4096
 
 
-def split_documents(docs: DataFrame, *, max_lines: int = fv.MAX_BLOCK_LINES, id_prefix: str = "CIT") -> DataFrame:
-    """One row per block with its coordinates and ids; row-local, no shuffle."""
+def split_documents(docs: DataFrame, *, max_lines: int = fv.MAX_BLOCK_LINES, id_prefix: str = "CIT", headers: bool = False) -> DataFrame:
+    """One row per block with its coordinates and ids; row-local, no shuffle. With ``headers`` each block also gets
+    ``chat_metadata``, the last chat header of its source so far, still inside the row."""
     keep = [c for c in docs.columns if c not in ("source_key", "source_path", "text")]
-    exploded = docs.select("source_key", "source_path", *keep,
-                           F.posexplode(tx.text_blocks(F.col("text"), max_lines)).alias("pos", "b"))
+    blocks = tx.text_blocks(F.col("text"), max_lines)
+    if headers:
+        spans = docs.select("source_key", "source_path", *keep, F.explode(header_spans(blocks)).alias("s"))
+        exploded = spans.select("source_key", "source_path", *keep, F.col("s.header").alias("chat_metadata"), F.col("s.first").alias("_first"),
+                                F.posexplode("s.blocks").alias("_in", "b")).withColumn("pos", F.col("_first") + F.col("_in"))
+        keep = [*keep, "chat_metadata"]
+    else:
+        exploded = docs.select("source_key", "source_path", *keep, F.posexplode(blocks).alias("pos", "b"))
+    return with_ids(exploded.select(
+        "source_key", "source_path", (F.col("pos") + 1).alias("block_index"), F.col("b.line_start").alias("line_start"),
+        F.col("b.line_end").alias("line_end"), F.col("b.text").alias("text"), *keep), id_prefix)
+
+
+def with_ids(rows: DataFrame, id_prefix: str = "CIT") -> DataFrame:
+    """Adds block_id, citation_id, marker and text_hash to numbered blocks."""
     digest = F.sha1(F.col("source_path").cast("binary"))
-    block_id = F.concat(digest, F.lit(":"), (F.col("pos") + 1).cast("string"))
-    out = exploded.select(
-        "source_key", "source_path", (F.col("pos") + 1).alias("block_index"), block_id.alias("block_id"),
-        F.col("b.line_start").alias("line_start"), F.col("b.line_end").alias("line_end"),
-        F.col("b.text").alias("text"), *keep)
+    out = rows.withColumn("block_id", F.concat(digest, F.lit(":"), F.col("block_index").cast("string")))
     cite = F.concat(F.lit(id_prefix + "-"), F.substring(F.sha1(F.col("block_id").cast("binary")), 1, 10))
     return (out.withColumn("citation_id", cite)
                .withColumn("marker", F.concat(F.lit("["), F.col("citation_id"), F.lit("]")))
@@ -54,10 +64,31 @@ def assign_ordinals(df: DataFrame, order: list[str], name: str = "ordinal", star
     return out.withColumnRenamed("_part", range_name) if range_name else out.drop("_part")
 
 
-def with_headers(blocks: DataFrame) -> DataFrame:
-    """Parse chat headers and carry each forward to later blocks of the same source."""
-    return carry_forward(blocks.withColumn("header", chat.chat_header(F.col("text"))),
-                         "source_path", "block_index", "header", "chat_metadata")
+def number_in_groups(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """``df`` written with each row's place in its group, from 1, without sorting a group in one task.
+
+    Rows are range-partitioned by group and order and written in that order, so a row's place in its range is known; the
+    group's rows in earlier ranges come from a table of one count per group and range.
+    """
+    keys = [*(F.col(g) for g in group), *order]
+    placed = (df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", *keys)
+              .withColumn("_at", F.monotonically_increasing_id()))
+    placed = materialise(placed, "in_order")
+    spans = placed.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).drop("_first", "_n")
+    return placed.join(spans, [*group, "_part"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
+def header_spans(blocks: Column) -> Column:
+    """A source's block array cut before each block that opens with a chat header: (header, first, blocks). The spans share no
+    block, so the work grows with the source and not with its square."""
+    def cut(all_blocks: Column, heads: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(heads) - 1, F.lit(0))), lambda i: F.get(heads, i).isNotNull() | (i == 0))
+        ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(heads)))
+        return F.zip_with(at, ends, lambda a, e: F.struct(
+            F.get(heads, a).alias("header"), a.alias("first"), F.slice(all_blocks, a + 1, e - a).alias("blocks")))
+    return tx.let(blocks, lambda b: tx.let(F.transform(b, lambda x: chat.chat_header(x["text"])), lambda h: cut(b, h)))
 
 
 def carry_forward(df: DataFrame, group: str, order: str, value: str, name: str, span: int = CARRY_SPAN) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from citeloom import fixed_values as fv
 from citeloom.functions import text as tx
-from citeloom.session import spread
+from citeloom.session import materialise, spread
 
 
 def postings(terms: DataFrame) -> DataFrame:
@@ -29,8 +29,26 @@ def anchor_counts_of_text(docs: DataFrame, text: str = "text", stop=fv.STOP_TERM
             .agg(F.sum("n").alias("observations")))
 
 
-def lexicon(counts: DataFrame) -> DataFrame:
-    return counts.select("anchor", tx.symbol(F.col("anchor")).alias("symbol"), "observations")
+#: The symbol of ``anchor`` as SQL, so that an index can carry another one in its settings.
+SYMBOL = f"concat('0x', upper(substring(sha1(cast(anchor as binary)), 1, {fv.SYMBOL_HEX_CHARS})))"
+
+
+def lexicon(counts: DataFrame, symbol: str = SYMBOL) -> DataFrame:
+    return counts.select("anchor", F.expr(symbol).alias("symbol"), "observations")
+
+
+def checked_lexicon(counts: DataFrame, symbol: str = SYMBOL) -> DataFrame:
+    """The written lexicon; an error if two anchors share a symbol. Collisions are observed in the pass that writes: a
+    symbol's group keeps two anchors and a count, however many share it."""
+    seen = Observation()
+    groups = lexicon(counts, symbol).groupBy("symbol").agg(
+        F.min("anchor").alias("anchor"), F.max("anchor").alias("last_anchor"), F.max("observations").alias("observations"), F.count("*").alias("anchors"))
+    shared = F.when(F.col("anchors") > 1, F.struct("symbol", "anchor", "last_anchor"))
+    watched = groups.observe(seen, F.count_if(F.col("anchors") > 1).alias("collisions"), F.max(F.to_json(shared)).alias("example"))
+    written = materialise(watched.select("anchor", "symbol", "observations"), "lexicon")
+    if seen.get["collisions"]:
+        raise ValueError(f"symbol collision: {seen.get['collisions']} symbols stand for several anchors, such as {seen.get['example']}")
+    return written
 
 
 def symbol_collisions(lex: DataFrame) -> DataFrame:

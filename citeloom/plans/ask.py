@@ -10,21 +10,51 @@ from pyspark.sql import functions as F
 
 from citeloom import fixed_values as fv
 from citeloom.operators import answers as an
-from citeloom.operators import blocks as bl
-from citeloom.operators import counts as ct
+from citeloom.operators import filters as fl
 from citeloom.operators import gate, ranking
 from citeloom.plans.index import CorpusIndex
-from citeloom.session import materialise
+from citeloom.session import broadcast_if, materialise, pinned
 
 
 @dataclass
 class Ranking:
-    """Scored blocks of a batch, before any cut."""
+    """What a batch is ranked by, before any cut: ``weights`` of its terms, ``damped`` by their counts, and the lists of the
+    blocks that are allowed. ``scored`` is every question-block pair; ``best`` reads only what can stand among the first."""
 
+    index: CorpusIndex
     batch: ranking.QuestionBatch
     neighbors: DataFrame
     weights: DataFrame
-    scored: DataFrame
+    damped: DataFrame
+    allowed: DataFrame | None = None
+    _best: tuple[int, DataFrame] | None = None
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        terms = self.index.terms
+        if self.allowed is not None:
+            terms = fl.keep_allowed(terms, self.allowed)
+        return ranking.score_blocks(terms, self.damped, self.batch.small)
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """Lists of the batch's terms over the allowed blocks."""
+        return allowed_postings(self.index, self.damped, self.batch, self.allowed)
+
+    def best(self, depth: int) -> DataFrame:
+        """First ``depth`` blocks of each question; a deeper answer serves shallower ones."""
+        if self._best is None or self._best[0] < depth:
+            small, local = self.batch.small, self.batch.local
+            hits = materialise(ranking.direct_hits(self.postings, self.damped, small), "hits")
+            floors = pinned(ranking.hit_floors(hits, depth), "floors", local)
+            scored = ranking.score_contenders(hits, floors, self.postings, self.damped, small)
+            self._best = depth, pinned(ranking.top_blocks(scored, depth), "top", local)
+        return self._best[1].filter(F.col("candidate_rank") <= depth)
+
+
+def allowed_postings(index: CorpusIndex, weights: DataFrame, batch: ranking.QuestionBatch, allowed: DataFrame | None) -> DataFrame:
+    rows = index.posting_lists.pick(ranking.named(weights, batch))
+    return rows if allowed is None else fl.keep_allowed(rows, allowed)
 
 
 @dataclass
@@ -54,35 +84,38 @@ class Packets:
 def rank_blocks(index: CorpusIndex, questions: DataFrame, *, created_after=None, created_before=None,
                 speaker: str | None = None) -> Ranking:
     batch = ranking.question_batch(questions, index.stop)
-    # short tables that several branches read: written once, so no branch repeats their work
-    near = materialise(ranking.relation_neighbors(index.pairs, batch, stop=index.stop, window=index.window), "neighbors")
-    weights = materialise(ranking.question_weights(batch.seeds, near), "weights")
-    terms, counts = index.terms, index.counts
+    # short tables that several branches read: pinned once, so no branch repeats their work
+    near = pinned(ranking.relation_neighbors(index.neighbor_lists, index.list_heads, batch, stop=index.stop, window=index.window), "neighbors", batch.local)
+    weights = pinned(ranking.question_weights(batch.seeds, near), "weights", batch.local)
+    allowed = None
     if created_after or created_before or speaker:
         # the filter goes before scoring: posting counts are those of the blocks that stay
-        allowed = bl.metadata_filter(index.blocks, created_after=created_after, created_before=created_before,
-                                     speaker=speaker).select("block_ordinal")
-        terms = terms.join(allowed, "block_ordinal", "left_semi")
-        counts = ct.anchor_counts(terms)
-    scored = ranking.score_blocks(terms, ranking.damped(weights, counts, batch.small), batch.small)
-    return Ranking(batch, near, weights, scored)
+        allowed = fl.allowed_blocks(index.filters, index.blocks, created_after=created_after, created_before=created_before, speaker=speaker)
+        counts = allowed_postings(index, weights, batch, allowed).join(
+            broadcast_if(weights.select("anchor").distinct(), batch.small), "anchor", "left_semi").groupBy("anchor").agg(F.sum("tf").alias("observations"))
+    else:
+        counts = index.count_list.pick(ranking.named(weights, batch))
+    damped = pinned(ranking.damped(weights, counts, batch.small), "damped", batch.local)
+    return Ranking(index, batch, near, weights, damped, allowed)
 
 
 def candidate_depth(top_k: int) -> int:
     return max(top_k * fv.CANDIDATES_PER_ANSWER, fv.MIN_CANDIDATES)
 
 
-def candidates(index: CorpusIndex, ranked: Ranking, depth: int) -> DataFrame:
-    return ranking.fetch_candidates(ranking.top_blocks(ranked.scored, depth), index.blocks, ranked.weights,
-                                    ranked.batch.small, index.stop)
+def candidates(ranked: Ranking, depth: int) -> DataFrame:
+    return ranking.fetch_candidates(ranked.best(depth), ranked.index.blocks, ranked.index.terms, ranked.weights, ranked.batch.small)
 
 
 def ask(index: CorpusIndex, questions: DataFrame, *, top_k: int = 5, created_after=None, created_before=None,
         speaker: str | None = None) -> Packets:
-    ranked = rank_blocks(index, questions, created_after=created_after, created_before=created_before, speaker=speaker)
-    asked = ranked.batch.questions
-    found = candidates(index, ranked, candidate_depth(top_k))
-    qualified = materialise(gate.qualify(found, asked, top_k=top_k, small=ranked.batch.small, stop=index.stop), "qualified")
+    return packets_of(rank_blocks(index, questions, created_after=created_after, created_before=created_before, speaker=speaker), top_k)
+
+
+def packets_of(ranked: Ranking, top_k: int = 5) -> Packets:
+    """Packets of a ranked batch; one ranking serves any ``top_k``."""
+    found = candidates(ranked, candidate_depth(top_k))
+    qualified = materialise(gate.qualify(found, ranked.batch.questions, top_k=top_k, small=ranked.batch.small, stop=ranked.index.stop), "qualified")
     locations = qualified.filter(F.col("location_rank").isNotNull())
     rejected = qualified.filter(F.col("rejected_rank").isNotNull())
     return Packets(ranked, found, qualified, locations, rejected)

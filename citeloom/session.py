@@ -53,18 +53,49 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialise_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Write a table bucketed and sorted by ``key``: later joins and groupings on a key set
-    that holds ``key`` need no exchange, and a lookup on ``key`` reads one bucket."""
-    spark = df.sparkSession
-    buckets = shuffle_partitions(spark)
-    path = new_location(spark, name)
-    table = f"citeloom_{name}_{uuid.uuid4().hex[:12]}"
+LOCAL_ROWS = 500_000
+
+
+def pinned(df: DataFrame, name: str, local: bool) -> DataFrame:
+    """Cut lineage of a short table. With ``local``, for which the caller has counted what bounds it, its rows become part of
+    later plans (LOCAL_ROWS at most); otherwise, or if there are more, it is written."""
+    if local:
+        rows = df.limit(LOCAL_ROWS + 1).toArrow()
+        if rows.num_rows <= LOCAL_ROWS:
+            return df.sparkSession.createDataFrame(rows, schema=df.schema)
+    return materialise(df, name)
+
+
+BUCKET_BYTES = 128 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 8, 65_536
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int | None = None) -> int:
+    """Write a table below ``path`` bucketed and sorted by ``key``, with as many buckets as its size asks for; the number of
+    buckets has to be kept to read it back."""
+    buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-plan_bytes(df) // BUCKET_BYTES)))
+    table = f"citeloom_{uuid.uuid4().hex[:12]}"
     (df.repartition(buckets, key).write.mode("overwrite").format("parquet")
        .bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table))
+    df.sparkSession.sql(f"DROP TABLE {table}")  # an external table: its files stay
+    return buckets
+
+
+def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """A table as ``write_bucketed`` left it: later joins and groupings on a key set that holds ``key`` need no exchange, and
+    a lookup on ``key`` reads one bucket."""
+    table = f"citeloom_{uuid.uuid4().hex[:12]}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
     return spark.table(table)
 
 
+def materialise_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Cut lineage by writing a bucketed table to the shared folder and reading it back."""
+    path = new_location(df.sparkSession, name)
+    return read_bucketed(df.sparkSession, path, key, write_bucketed(df, path, key))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -86,7 +117,10 @@ SMALL_TASK_BYTES = 8 << 20
 def spread(df: DataFrame) -> DataFrame:
     """Use every core on an input too small to be read in as many splits. The size is the
     optimizer's own estimate; an input with enough splits is left as it is read."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_TASK_BYTES else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan_bytes(df) < cores * SMALL_TASK_BYTES else df
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's own estimate of a table's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

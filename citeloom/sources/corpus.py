@@ -10,19 +10,48 @@ from pyspark.sql import functions as F
 from citeloom import fixed_values as fv
 
 
-def scan_text(spark: SparkSession, path: str, suffixes: Iterable[str] | None = fv.TEXT_SUFFIXES) -> DataFrame:
+def unread_files(spark: SparkSession, path: str, suffixes: Iterable[str] | None = fv.TEXT_SUFFIXES, most: int = 5) -> list[str]:
+    """Some files below ``path`` that Spark's readers pass over without a word, for a part of their path starts with an
+    underscore, although they are no hidden files. Names alone are listed, by the file system the path belongs to."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, found, base = fs.listFiles(root, True), [], len(root.toUri().getPath().rstrip("/"))
+    while files.hasNext() and len(found) < most:
+        name = files.next().getPath().toUri().getPath()
+        parts = [p for p in name[base:].split("/") if p]
+        wanted = suffixes is None or name.lower().endswith(tuple(f".{s.lstrip('.')}" for s in suffixes))
+        if wanted and not any(p.startswith(".") for p in parts) and any(p.startswith("_") and "=" not in p for p in parts):
+            found.append(name)
+    return found
+
+
+def scan_text(spark: SparkSession, path: str, suffixes: Iterable[str] | None = fv.TEXT_SUFFIXES, *, unread: str = "fail") -> DataFrame:
     """Text files below a folder, hidden parts skipped. Files sort by path part, not by the
-    plain path string; ``suffixes=None`` takes every file."""
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    plain path string; ``suffixes=None`` takes every file. Spark's readers cannot open names that start with an underscore:
+    such files are an error, or left out with ``unread="skip"``."""
+    if unread == "fail" and (lost := unread_files(spark, path, suffixes)):
+        raise ValueError(f"rename these files, Spark's readers skip them: {', '.join(lost)}")
+    # an argument, not an option: the reader's own default would undo the option
+    raw = (spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
            .select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("text")))
-    path_col = F.regexp_replace(F.url_decode(F.replace(F.col("uri"), F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
-    out = raw.withColumn("source_path", path_col)
-    if suffixes is not None:
-        ends = "|".join(s.lstrip(".") for s in suffixes)
-        out = out.filter(F.lower("source_path").rlike(rf"\.({ends})$")).filter(~F.col("source_path").rlike(r"/\."))
+    out = wanted_paths(raw.withColumn("source_path", path_of(F.col("uri"))), suffixes)
     return out.select(F.split("source_path", "/").alias("source_key"), "source_path", "text")
 
 
+def path_of(uri: Column) -> Column:
+    """A local path from a file URI; other URIs stay."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
+
+
+def wanted_paths(rows: DataFrame, suffixes: Iterable[str] | None) -> DataFrame:
+    """Rows of files with a wanted suffix and no hidden part."""
+    if suffixes is None:
+        return rows
+    ends = "|".join(s.lstrip(".") for s in suffixes)
+    return rows.filter(F.lower("source_path").rlike(rf"\.({ends})$")).filter(~F.col("source_path").rlike(r"/\."))
+
+
 def scan_text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import chat
 from citeloom.functions import text as tx
 from citeloom.operators.blocks import assign_ordinals, carry_forward
+from citeloom.sources.corpus import unread_files
 
 EVENT = ("struct<type:string,timestamp:string,payload:struct<id:string,source:string,originator:string,type:string,"
          "role:string,content:array<struct<text:string,value:string>>>>")
@@ -16,7 +17,10 @@ EVENT = ("struct<type:string,timestamp:string,payload:struct<id:string,source:st
 
 def event_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of all ``.jsonl`` files, numbered in file and line order: (source_path, line_no,
-    line). A file may be read in splits; the split start orders them."""
+    line). A file may be read in splits; the split start orders them. Names that start with an underscore are an error, for
+    Spark's readers skip them."""
+    if lost := unread_files(spark, path, (".jsonl",)):
+        raise ValueError(f"rename these files, Spark's readers skip them: {', '.join(lost)}")
     raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
            .select(F.regexp_replace("_metadata.file_path", "^file:/*", "/").alias("source_path"),
                    F.col("_metadata.file_block_start").alias("_start"), F.col("value").alias("line"))

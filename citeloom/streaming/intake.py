@@ -16,11 +16,15 @@ from citeloom.functions import text as tx
 from citeloom.operators import blocks as bl
 from citeloom.operators import counts as ct
 from citeloom.session import spread
+from citeloom.sources.corpus import unread_files
 
 
 def file_stream(spark: SparkSession, path: str, *, max_files: int | None = None, max_bytes: str | None = None,
                 suffixes=fv.TEXT_SUFFIXES) -> DataFrame:
-    """Whole text files as a stream, bounded per trigger."""
+    """Whole text files as a stream, bounded per trigger. Names that start with an underscore are an error when the stream is
+    set up, for Spark's readers skip them."""
+    if lost := unread_files(spark, path, suffixes):
+        raise ValueError(f"rename these files, Spark's readers skip them: {', '.join(lost)}")
     reader = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -52,12 +56,16 @@ def table_stream(spark: SparkSession, path: str, *, key: str, text: str, prefix:
 def write_batch(batch: DataFrame, batch_id: int, root: str, *, window: int, stop, max_doc_bytes: int | None) -> None:
     """Counts, relations, rejects and metrics of one batch."""
     part = f"batch_id={batch_id}"
-    bad = F.col("text").isNull() if max_doc_bytes is None else F.col("text").isNull() | (F.col("file_bytes") > max_doc_bytes)
+    over = F.lit(False) if max_doc_bytes is None else F.col("file_bytes") > max_doc_bytes
+    reason = (F.when(F.col("text").isNull(), F.lit("unreadable")).when(over, F.lit("over_size_limit"))
+              .when(~F.is_valid_utf8("text"), F.lit("invalid_bytes")))
     spark = batch.sparkSession
-    (batch.filter(bad).select("source_path", "file_bytes", F.when(F.col("text").isNull(), F.lit("unreadable"))
-                              .otherwise(F.lit("over_size_limit")).alias("reason"))
+    # one state per file: a bad file is set aside with its reason, and the batch goes on
+    (batch.select("source_path", "file_bytes", reason.alias("reason")).withColumn("state", F.when(F.col("reason").isNull(), F.lit("taken")).otherwise(F.lit("rejected")))
+     .write.mode("overwrite").parquet(f"{root}/files/{part}"))
+    (spark.read.parquet(f"{root}/files/{part}").filter("state = 'rejected'").select("source_path", "file_bytes", "reason")
      .write.mode("overwrite").parquet(f"{root}/rejected/{part}"))
-    rows = bl.split_documents(spread(batch.filter(~bad).drop("file_bytes")))
+    rows = bl.split_documents(spread(batch.filter(reason.isNull()).drop("file_bytes")))
     # tokenised once per batch, into the batch's own folder; everything else reads it back
     (rows.select("source_path", "block_index", "block_id", "line_start", "line_end", tx.anchors(F.col("text"), stop).alias("terms"))
      .write.mode("overwrite").parquet(f"{root}/terms/{part}"))
@@ -80,6 +88,11 @@ def start_intake(stream: DataFrame, root: str, checkpoint: str, *, window: int =
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def file_states(spark: SparkSession, root: str) -> DataFrame:
+    """(source_path, file_bytes, state, reason, batch_id) of every file that arrived."""
+    return spark.read.parquet(f"{root}/files")
+
+
 def total_counts(spark: SparkSession, root: str) -> DataFrame:
     return ct.merge_counts(spark.read.parquet(f"{root}/counts").drop("batch_id"), keys=["anchor"])
 
