@@ -264,7 +264,7 @@ def chat_filter_query(t: Tables) -> DataFrame:
 @query
 def packet_diff(t: Tables) -> DataFrame:
     """The same questions with and without a speaker filter."""
-    a = rc.diff_rows(ak.ask(t.chat, t.questions))
+    a = rc.diff_rows(ak.packets_of(t.chat_ranking))
     b = rc.diff_rows(ak.ask(t.chat, t.questions, speaker="user"))
     return rc.packet_diff(a, b).select("question_id", "same_answer", "same_citations", "same_candidates", "same_support_level",
                                        bar("citations_removed").alias("citations_removed"), bar("citations_added").alias("citations_added"),
@@ -297,7 +297,7 @@ def gold_full_rank(t: Tables) -> DataFrame:
 
 @query
 def citation_crosslinks(t: Tables) -> DataFrame:
-    linked = xl.link_corpora(t.docs, t.chat, t.questions)
+    linked = xl.link_rankings(t.packets.ranking, t.chat_ranking)
     return linked.links.select("question_id", "from_citation", "from_line_start", "from_line_end", "to_citation", "to_line_start",
                                "to_line_end", "link_type", bar("shared_anchors").alias("shared_anchors"), "shared_anchor_count", "confidence")
 

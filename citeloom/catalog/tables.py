@@ -57,6 +57,11 @@ class Tables:
     def packets(self) -> ak.Packets:
         return ak.ask(self.docs, self.questions)
 
+    @cached_property
+    def chat_ranking(self) -> ak.Ranking:
+        """The questions ranked over the conversations; links and comparisons take their own depth of it."""
+        return ak.rank_blocks(self.chat, self.questions)
+
     @cached_property
     def triggers(self) -> DataFrame:
         """The 25 most frequent longer terms of the conversations as a trigger list."""

@@ -27,6 +27,7 @@ class Ranking:
     weights: DataFrame
     damped: DataFrame
     allowed: DataFrame | None = None
+    _hits: DataFrame | None = None
     _best: tuple[int, DataFrame] | None = None
 
     @cached_property
@@ -45,9 +46,10 @@ class Ranking:
         """First ``depth`` blocks of each question; a deeper answer serves shallower ones."""
         if self._best is None or self._best[0] < depth:
             small, local = self.batch.small, self.batch.local
-            hits = materialise(ranking.direct_hits(self.postings, self.damped, small), "hits")
-            floors = pinned(ranking.hit_floors(hits, depth), "floors", local)
-            scored = ranking.score_contenders(hits, floors, self.postings, self.damped, small)
+            if self._hits is None:  # the same for every depth
+                self._hits = materialise(ranking.direct_hits(self.postings, self.damped, small), "hits")
+            floors = pinned(ranking.hit_floors(self._hits, depth), "floors", local)
+            scored = ranking.score_contenders(self._hits, floors, self.postings, self.damped, small)
             self._best = depth, pinned(ranking.top_blocks(scored, depth), "top", local)
         return self._best[1].filter(F.col("candidate_rank") <= depth)
 

@@ -254,9 +254,9 @@ def test_bits_over_bucket_borders(spark):
 
 def test_files_by_ranges_give_the_blocks_of_whole_files(spark, tmp_path):
     rng = random.Random(5)
-    bodies = {"a.txt": "one\ntwo\n\nthree\r\nfour\x0bfive\n", "sub/b.md": "\n\n a \n \t\n b", "c.txt": "\n".join(f"line {i} é" for i in range(400)),
+    bodies = {"a.txt": "one\ntwo\n\nthree\r\nfour\x0bfive\n", "sub/b.md": "\n\n a \n \t\n b", "c.txt": "\n".join(f"line {i} é" for i in range(150)),
               "d.txt": "x\r\r\ny\r\n\r\nz", "e.txt": "", "f.txt": "no break at all " * 40,
-              "g.txt": "".join(rng.choice(["word ", "\n", "\n\n", "\r\n", "é ", "\x0c", " ", " "]) for _ in range(3000)), "skip.bin": "x"}
+              "g.txt": "".join(rng.choice(["word ", "\n", "\n\n", "\r\n", "é ", "\x0c", " ", " "]) for _ in range(900)), "skip.bin": "x"}
     for name, body in bodies.items():
         f = tmp_path / name
         f.parent.mkdir(exist_ok=True)
@@ -265,11 +265,11 @@ def test_files_by_ranges_give_the_blocks_of_whole_files(spark, tmp_path):
     whole = rows_of(bl.split_documents(corpus.scan_text(spark, str(tmp_path))), *columns)
     held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "211")
         spark.conf.set("spark.sql.files.openCostInBytes", "1")
         blocks = lt.line_blocks(spark, str(tmp_path))
         lines = lt.numbered_lines(spark, str(tmp_path))
-        assert lines.select("source_path", "range_start").distinct().count() > 20
+        assert lines.select("source_path", "range_start").distinct().count() > 12
         assert rows_of(blocks, *columns) == whole
     finally:
         for k, v in held.items():
