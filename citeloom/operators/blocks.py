@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from citeloom import fixed_values as fv
 from citeloom.functions import chat
 from citeloom.functions import text as tx
-from citeloom.session import materialise, shuffle_partitions
+from citeloom.session import materialise, pieces_of
 
 CARRY_SPAN = 4096
+RANGE_BYTES = 128 << 20
+MOST_RANGES = 65_536
 
 
 def split_documents(docs: DataFrame, *, max_lines: int = fv.MAX_BLOCK_LINES, id_prefix: str = "CIT", headers: bool = False) -> DataFrame:
@@ -48,10 +50,10 @@ def assign_ordinals(df: DataFrame, order: list[str], name: str = "ordinal", star
     A range exchange on the whole order key sorts the rows over many tasks (a hot source is
     cut between its blocks). The sorted rows are written once, one folder per range, so both
     passes below see the same rows; the second pass adds one offset per range, a table as
-    short as the partition count. ``range_name`` keeps the range as a column: it is the
+    short as the number of ranges, which follows the size of the input. ``range_name`` keeps the range as a column: it is the
     table's partition column, so a join on it reads only the ranges it needs.
     """
-    n = shuffle_partitions(df.sparkSession)
+    n = pieces_of(df, RANGE_BYTES, df.sparkSession.sparkContext.defaultParallelism, MOST_RANGES)
     placed = (df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
               .sortWithinPartitions("_part", *order).withColumn("_at", F.monotonically_increasing_id()))
     placed = materialise(placed, "ordered", "_part")

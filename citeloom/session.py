@@ -66,6 +66,7 @@ def pinned(df: DataFrame, name: str, local: bool) -> DataFrame:
     return materialise(df, name)
 
 
+UNKNOWN_BYTES = 1 << 60
 BUCKET_BYTES = 128 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 8, 65_536
 
@@ -73,7 +74,7 @@ LEAST_BUCKETS, MOST_BUCKETS = 8, 65_536
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int | None = None) -> int:
     """Write a table below ``path`` bucketed and sorted by ``key``, with as many buckets as its size asks for; the number of
     buckets has to be kept to read it back."""
-    buckets = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-plan_bytes(df) // BUCKET_BYTES)))
+    buckets = buckets or pieces_of(df, BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS)
     table = f"citeloom_{uuid.uuid4().hex[:12]}"
     (df.repartition(buckets, key).write.mode("overwrite").format("parquet")
        .bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table))
@@ -96,10 +97,6 @@ def materialise_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return read_bucketed(df.sparkSession, path, key, write_bucketed(df, path, key))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
     """Hint a broadcast only for a side whose size was checked; otherwise leave the join to
     Catalyst (sort-merge with AQE skew handling)."""
@@ -122,5 +119,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's own estimate of a table's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the tables that a frame reads, by the optimizer's own figures. (Its estimate of a join's result multiplies both
+    sides and is no use for a layout.) Rows without known size count as UNKNOWN_BYTES or more."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def pieces_of(df: DataFrame, piece_bytes: int, least: int, most: int) -> int:
+    """How many pieces of about ``piece_bytes`` a table should have: by its size, never by a session's number of partitions."""
+    size = plan_bytes(df)
+    return least if size >= UNKNOWN_BYTES else min(most, max(least, -(-size // piece_bytes)))

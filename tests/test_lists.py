@@ -294,3 +294,23 @@ def test_bad_files_are_set_aside_and_the_batch_goes_on(spark, tmp_path):
     states = {r.source_path.rsplit("/", 1)[1]: (r.state, r.reason) for r in intake.file_states(spark, out).collect()}
     assert states == {"good.txt": ("taken", None), "bad.txt": ("rejected", "invalid_bytes"), "long.txt": ("rejected", "over_size_limit")}
     assert {r.anchor: r.observations for r in intake.total_counts(spark, out).collect()} == {"crane": 1, "cargo": 1}
+
+
+def test_cloud_keeps_its_radius_in_a_wider_index(index_of):
+    from citeloom.operators import frames as fr
+
+    wide, usual = (index_of("a1 b1 c1 d1 e1 f1 g1 h1 i1 crane k1 l1 m1 n1 o1 p1 q1 r1 s1", window=w) for w in (9, 6))
+    seeds = usual.counts.filter("anchor = 'crane'").select("anchor")
+    columns = ["offset", "neighbor", "observations"]
+    got = rows_of(fr.relation_cloud(wide.relations, seeds, small=True), *columns)
+    assert got == rows_of(fr.relation_cloud(usual.relations, seeds, small=True), *columns) and {r[0] for r in got} == {*range(-6, 0), *range(1, 7)}
+
+
+def test_layouts_follow_sizes(spark, docs):
+    from citeloom import session as ss
+
+    assert ss.pieces_of(docs("a", "b"), 1, 3, 9) == 3  # size unknown
+    written = ss.materialise(spark.range(10_000).withColumn("text", F.sha1(F.col("id").cast("string").cast("binary"))), "sized")
+    size = ss.plan_bytes(written)
+    assert 100_000 < size < 2_000_000 and ss.plan_bytes(written.join(F.broadcast(written.limit(3)), "id")) < 3 * size  # no product of both sides
+    assert ss.pieces_of(written, size // 4, 2, 100) in (4, 5) and ss.pieces_of(written, 1, 2, 100) == 100
