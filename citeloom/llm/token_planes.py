@@ -13,6 +13,7 @@ serves, a lost task writes its rows anew, and a reader decodes each row on its o
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -32,7 +33,7 @@ MAGIC, VERSION = b"CLTP", 1
 HEADER = struct.Struct("<4sHHIQII")
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 20
-CACHE_WORDS = 350_000
+CACHE_WORDS = 600_000
 SHARD_SCHEMA = "range int, shard int, before long, ids long, first_doc long, payload binary"
 
 
@@ -114,7 +115,10 @@ def read_block(data: bytes, block: int) -> np.ndarray:
 # -- tokenizing ---------------------------------------------------------------------------
 
 _EDGE = re.compile(r" (?=[^\s\x00-\x1f])")
-_ODD = re.compile(r" (?:[\s\x00-\x1f]|$)")
+class OddSpace(Exception):
+    """A piece that is empty or starts with a space or control character: its text may not be cut at every space."""
+
+
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;?|-]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;?|-]*))?")
 
 
@@ -126,6 +130,20 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian uint32."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def cuts_at_spaces(tokenizer) -> bool:
+    """True for byte-level BPE with the usual pattern of words and without normalisation, where pieces can be encoded alone."""
+    spec = json.loads(tokenizer.to_str())
+    first, model = spec["pre_tokenizer"] or {}, spec["model"]
+    return (first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first["add_prefix_space"] and not spec["normalizer"]
+            and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+            and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] or t["content"].isalpha() for t in spec["added_tokens"]))
+
+
 class PieceIds(dict):
     """Ids of pieces as little-endian uint32, encoded on first use: words by the library's model, other pieces whole."""
 
@@ -133,6 +151,8 @@ class PieceIds(dict):
         self.tokenizer, self.model, self.before, self.parts, self.letters = tokenizer, tokenizer.model, before, parts, byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
+        if self.before and (piece[:1] <= "\x1f" or piece[0].isspace()):
+            raise OddSpace
         plain = _PLAIN.fullmatch(self.before + piece)
         if plain:
             out = b"".join([self.part(p) for p in plain.groups() if p])
@@ -142,14 +162,15 @@ class PieceIds(dict):
         return out
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def part(self, text: str) -> bytes:
         """Ids of one run of letters (with a space before it or not), of marks, or of a line break."""
         ids = self.parts.get(text)
         if ids is None:
             if text[-1].isalpha():
-                ids = np.array([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+                shown = text.replace(" ", self.letters[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+                ids = packed([t.id for t in self.model.tokenize(shown)])
             else:
                 ids = self.whole(text)
             self.parts[text] = ids
@@ -159,12 +180,13 @@ class PieceIds(dict):
 class WordCachedTokenizer:
     """Ids as the library gives them for whole texts. Byte-level BPE never joins across a space that a visible character
     follows, nor between letters, marks and line breaks, so texts are cut there and each distinct piece is encoded once. The
-    caches are emptied when full."""
+    caches are emptied when full. Tokenizers of other kinds encode every text whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = cuts_at_spaces(self.tokenizer)
         self.reset()
 
     def reset(self) -> None:
@@ -175,11 +197,15 @@ class WordCachedTokenizer:
         """Little-endian uint32 ids of each text."""
         if len(self.rest) + len(self.first) > CACHE_WORDS:
             self.reset()
-        out = []
-        for t in texts:
-            head, *tail = _EDGE.split(t) if _ODD.search(t) else t.split(" ")
-            out.append(self.first[head] + b"".join(map(self.rest.__getitem__, tail)))
-        return out
+        return list(map(self.cut if self.cuts else self.first.whole, texts))
+
+    def cut(self, text: str) -> bytes:
+        head, *tail = text.split(" ")
+        try:
+            return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
+        except OddSpace:
+            head, *tail = _EDGE.split(text)
+            return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
 
 
 _tokenizers: dict[str, WordCachedTokenizer] = {}

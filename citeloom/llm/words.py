@@ -8,6 +8,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -26,7 +27,7 @@ def lower_words(text: bytes) -> list[bytes]:
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches by rows so that one piece holds about ``most_bytes`` of text, or one long row."""
     for batch in batches:
-        size = np.cumsum([0, *(len(t) for t in utf8(batch.column(text)))])
+        size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(size, size[at] + most_bytes, side="right")) - 1)

@@ -1,5 +1,6 @@
 """Exact round trips: planes, shards, files, and the library's own ids."""
 
+import json
 import random
 import zlib
 
@@ -41,6 +42,19 @@ def test_cached_ids_are_the_library_ids():
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [e.ids for e in want]
 
 
+@pytest.mark.parametrize("change", [{"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+                                    {"normalizer": {"type": "Lowercase"}}])
+def test_other_kinds_of_tokenizer_encode_whole_texts(tmp_path, change):
+    with open(TOKENIZER) as f:
+        spec = json.load(f) | change
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    own = tp.WordCachedTokenizer(str(path))
+    texts = ["Two Words", " led by a space", "", "A  b\n c "]
+    assert not own.cuts and tp.WordCachedTokenizer(TOKENIZER).cuts
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def brute(rows):
     from tokenizers import Tokenizer
 
