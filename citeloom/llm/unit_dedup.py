@@ -15,16 +15,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from citeloom.llm.leaks import plain
 from citeloom.llm.tasks import map_arrow
 from citeloom.llm.words import pieces
-from citeloom.session import materialise
 
 LINE_WORDS = 10
 BLOCK_WORDS = 20
 _BASE = 0x9E3779B97F4A7C15
-UNITS = "doc_id long, row_key long, start int, end int, digest long"
+#: Units that a task holds at a time to settle copies among them (some 40 MB); decides no result.
+HELD_UNITS = 1_000_000
+UNITS = "doc_id long, row_key long, start int, end int, digest long, later boolean"
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -109,18 +111,46 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _table[0][:n], _table[1]
 
 
-def unit_table(docs: DataFrame, line_words: int, block_words: int) -> DataFrame:
+def unit_table(docs: DataFrame, line_words: int, block_words: int, held_units: int) -> DataFrame:
+    """One row per unit of every text. Copies within ``held_units`` units of one task are settled there: all but the earliest
+    are ``later`` for sure and get a digest of their own place, so that the copies of a frequent unit neither travel nor
+    meet as one group."""
+
+    def settled(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        digest, doc, key, start = (table.column(c).to_numpy() for c in ("digest", "doc_id", "row_key", "start"))
+        order = np.lexsort((start, key, doc, digest))
+        d, place = digest[order], np.stack([doc[order], key[order], start[order].astype(np.int64)])
+        fresh = np.concatenate([[True], d[1:] != d[:-1]])
+        first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        later = np.zeros(len(d), bool)
+        later[order] = (place != place[:, first]).any(0)
+        with np.errstate(over="ignore"):
+            own = (key.astype(np.uint64) + start.astype(np.uint64)) * np.uint64(_BASE)
+        digest = np.where(later, own.view(np.int64), digest)
+        columns = [table.column(c).combine_chunks() for c in ("doc_id", "row_key", "start", "end")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(digest), pa.array(later)], names=["doc_id", "row_key", "start", "end", "digest", "later"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        count = 0
         for batch in pieces(batches, "text"):
             found = [(i, *u) for i, t in enumerate(batch.column("text").to_pylist()) for u in units(t, line_words, block_words)]
-            if found:
-                rows, start, end, digest = zip(*found)
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").take(take), batch.column("row_key").take(take), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
-                    pa.array(np.array(digest, np.uint64).view(np.int64))], names=["doc_id", "row_key", "start", "end", "digest"])
-
-    return materialise(map_arrow(docs.select("doc_id", "row_key", "text"), run, UNITS), "units")
+            if not found:
+                continue
+            rows, start, end, digest = zip(*found)
+            take = pa.array(rows)
+            parts.append(pa.RecordBatch.from_arrays([
+                batch.column("doc_id").take(take), batch.column("row_key").take(take), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
+                pa.array(np.array(digest, np.uint64).view(np.int64))], names=["doc_id", "row_key", "start", "end", "digest"]))
+            count += len(found)
+            if count >= held_units:
+                yield settled(parts)
+                parts, count = [], 0
+        if parts:
+            yield settled(parts)
+
+    return map_arrow(docs.select("doc_id", "row_key", "text"), run, UNITS)
 
 
 def merged_spans(spans) -> "F.Column":
@@ -132,11 +162,12 @@ def merged_spans(spans) -> "F.Column":
     return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), add)
 
 
-def repeated_spans(docs: DataFrame, *, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, row_key, removed): the merged spans of all units that an earlier place holds, by doc_id, then position."""
-    found = unit_table(docs, line_words, block_words)
-    first = found.groupBy("digest").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "row_key", "start")).alias("_first")).filter("_n > 1").drop("_n")
-    later = found.join(first, "digest").filter(F.struct("doc_id", "row_key", "start") != F.col("_first"))
+def repeated_spans(docs: DataFrame, *, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS, held_units: int = HELD_UNITS) -> DataFrame:
+    """(doc_id, row_key, removed): the merged spans of all units that an earlier place holds, by doc_id, then position. Units
+    travel once, by digest; each partition walks its sorted rows."""
+    found = unit_table(docs, line_words, block_words, held_units)
+    place = F.rank().over(W.partitionBy("digest", "later").orderBy("doc_id", "row_key", "start"))
+    later = found.withColumn("_place", place).filter("later or _place > 1")
     spans = later.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     return spans.select("doc_id", "row_key", merged_spans(F.col("_spans")).alias("removed"))
 

@@ -1,6 +1,7 @@
 """Removed spans against a single pass in order of doc_id and position."""
 
 from citeloom.llm import unit_dedup as ud
+from citeloom.llm.jaccard_join import keyed
 
 
 def brute(rows, line_words, block_words):
@@ -34,6 +35,16 @@ def test_spans_match_single_pass(docs_of, words):
     assert sentence in got[0][1] and sentence not in got[5][1]
 
 
+def test_settling_in_tasks_changes_nothing(docs_of, words):
+    line, passage = words(14), ". ".join(words(8).capitalize() for _ in range(8)) + "."
+    rows = [(i, f"{line}\n{words(30)} {passage}\n{words(40)}.\n{line if i % 2 else words(12)}") for i in range(40)]
+    def spans(held):
+        return {(r.doc_id, tuple(map(tuple, r.removed))) for r in ud.repeated_spans(keyed(docs_of(rows)), held_units=held).collect()}
+    want = brute(rows, ud.LINE_WORDS, ud.BLOCK_WORDS)
+    for held in (1, 50, ud.HELD_UNITS):
+        assert spans(held) == {(d, tuple(v)) for d, v in want.items() if v}
+
+
 def test_passage_inside_one_sentence(docs_of, words):
     passage = words(70)
     rows = [(i, f"É {words(30)} {passage if i % 2 else passage.upper()} {words(25)}") for i in range(8)]
