@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.tasks import group_arrow, map_arrow
+from citeloom.llm.tasks import map_arrow
 from citeloom.llm.words import Interned, pieces, utf8
 from citeloom.session import materialise
 
@@ -53,30 +52,50 @@ def hashed_ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate([rows, rows[1:][same]]), np.concatenate([one, two]), 2 * it.lens - (it.lens > 0)
 
 
-def train_ftrl(texts: Callable[[], Iterable[bytes]], labels: list[int], s: Settings) -> np.ndarray:
-    """Weights by FTRL-proximal over the rows in the order given; the last entry is the bias. ``texts`` gives the texts anew
-    for each pass, so that no more than one text's features are held."""
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
-        pull = np.sign(zi) * s.l1 - zi
-        return np.where(np.abs(zi) <= s.l1, 0.0, pull / ((s.beta + np.sqrt(ni)) / s.alpha + s.l2))
+def sparse_row(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of a text, ascending, and their values: counts over the root of the number of all features."""
+    _, feats, size = hashed_ngrams([text])
+    at, count = np.unique(feats, return_counts=True)
+    return at, count / np.sqrt(max(1, size[0]))
+
+
+def fresh_state() -> tuple[np.ndarray, np.ndarray]:
+    """FTRL's z and n of each feature; the last entry is the bias."""
+    return np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+
+
+def ftrl_weights(z: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
+    pull = np.sign(z) * s.l1 - z
+    return np.where(np.abs(z) <= s.l1, 0.0, pull / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
+
+
+def ftrl_pass(z: np.ndarray, n: np.ndarray, rows: Iterable[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> None:
+    """One pass of FTRL-proximal over (features, values, label) in the order given; z and n change in place."""
+    for at, x, y in rows:
+        at, x = np.append(at, 1 << BITS), np.append(x, 1.0)
+        zi, ni = z[at], n[at]
+        w = ftrl_weights(zi, ni, s)
+        g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - y) * x
+        more = ni + g * g
+        z[at], n[at] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / s.alpha * w, more
+
+
+def train_ftrl(texts: list[bytes], labels: list[int], s: Settings) -> np.ndarray:
+    """Weights after all passes over texts at hand; the last entry is the bias."""
+    z, n = fresh_state()
     for _ in range(s.passes):
-        for text, y in zip(texts(), labels, strict=True):
-            _, feats, size = hashed_ngrams([text])
-            at, count = np.unique(feats, return_counts=True)
-            at, x = np.append(at, 1 << BITS), np.append(count / np.sqrt(max(1, size[0])), 1.0)
-            zi, ni = z[at], n[at]
-            w = weights(zi, ni)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - y) * x
-            more = ni + g * g
-            z[at], n[at] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / s.alpha * w, more
-    return weights(z, n).astype(np.float32)
+        ftrl_pass(z, n, ((*sparse_row(t), y) for t, y in zip(texts, labels, strict=True)), s)
+    return ftrl_weights(z, n, s).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, settings: Settings = Settings()) -> np.ndarray:
-    """Model of the quality labels, fitted in one task on the ``sample_rows`` labelled documents outside the held-out fifth
-    whose hashed doc_id is smallest, in that order. Repeated labels count as the highest, of repeated doc_ids the smallest
-    text is taken. Without rows all weights are 0, so every score is a half."""
+    """Model of the quality labels, fitted on the ``sample_rows`` labelled documents outside the held-out fifth whose hashed
+    doc_id is smallest, in that order. Repeated labels count as the highest, of repeated doc_ids the smallest text is taken.
+    Without rows all weights are 0, so every score is a half.
+
+    Features are hashed where the texts are; one task per pass reads the sparse rows as one sorted stream and holds z, n and
+    one batch of rows.
+    """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
     ids = docs.select("doc_id").filter(~held_out()).join(marks, "doc_id").distinct()
     chosen = materialise(ids.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(sample_rows), "sample")
@@ -85,13 +104,30 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, s
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("_order", "doc_id").agg(  # sample_rows ids at most
         F.min("text").alias("text"), F.first("label").alias("label"))
 
-    def train(table):
-        rows = pc.sort_indices(table, [("_order", "ascending"), ("doc_id", "ascending")]).to_pylist()
-        text, label = table.column("text").cast(pa.binary()), table.column("label").to_pylist()
-        w = train_ftrl(lambda: (text[i].as_py() or b"" for i in rows), [label[i] for i in rows], settings)
-        return pa.table({"weights": pa.array([w.tobytes()], pa.binary())})
-
-    return np.frombuffer(group_arrow(rows.groupBy(F.lit(0).alias("_all")), train, "weights binary").first()[0], np.float32)
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 1 << 20):
+            found = [sparse_row(t) for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([
+                *(batch.column(c) for c in names), pa.array([at.astype("<i4").tobytes() for at, _ in found], pa.binary()),
+                pa.array([x.astype("<f8").tobytes() for _, x in found], pa.binary())], names=[*names, "at", "x"])
+
+    names = ["_order", "doc_id", "label"]
+    sparse = materialise(map_arrow(rows, features, rows.select(*names).schema.add("at", "binary").add("x", "binary")), "features")
+    stream = sparse.repartition(1).sortWithinPartitions("_order", "doc_id").select("label", "at", "x")
+    z, n = fresh_state()
+    for _ in range(settings.passes):
+        held = docs.sparkSession.sparkContext.broadcast((z, n))  # 16 MB whatever the input
+
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            z, n = (v.copy() for v in held.value)
+            for batch in batches:
+                ftrl_pass(z, n, ((np.frombuffer(at.as_py(), "<i4"), np.frombuffer(x.as_py(), "<f8"), y.as_py())
+                                 for y, at, x in zip(*batch.columns, strict=True)), settings)
+            yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["z", "n"])
+
+        z, n = (np.frombuffer(v) for v in map_arrow(stream, train, "z binary, n binary").first())
+        held.destroy()
+    return ftrl_weights(z, n, settings).astype(np.float32)
 
 
 def score(docs: DataFrame, model: np.ndarray, *carry: str, into: str = "score") -> DataFrame:

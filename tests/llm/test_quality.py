@@ -80,7 +80,48 @@ def test_accepted_keeps_columns(spark, docs_of, words):
 
 
 def test_ftrl_reaches_a_separable_fit():
-    w = q.train_ftrl(lambda: [b"good fine"] * 20 + [b"bad ugly"] * 20, [1] * 20 + [0] * 20, q.Settings(passes=5))
+    w = q.train_ftrl([b"good fine"] * 20 + [b"bad ugly"] * 20, [1] * 20 + [0] * 20, q.Settings(passes=5))
     rows, feats, size = q.hashed_ngrams([b"good fine", b"bad ugly"])
     dots = np.bincount(rows, w[feats], 2) / np.sqrt(size) + w[-1]
     assert dots[0] > 0 > dots[1]
+
+
+def plain_ftrl(texts, labels, s):
+    """Coordinate by coordinate, from dictionaries."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(zi) <= s.l1 else -(zi - math.copysign(s.l1, zi)) / ((s.beta + math.sqrt(ni)) / s.alpha + s.l2)
+
+    for _ in range(s.passes):
+        for text, y in zip(texts, labels):
+            _, feats, size = q.hashed_ngrams([text])
+            x = {int(f): float((feats == f).sum()) / math.sqrt(max(1, size[0])) for f in set(feats)} | {1 << q.BITS: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - y) * x[i]
+                step = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / s.alpha
+                z[i], n[i] = z.get(i, 0.0) + g - step * w[i], n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_fit_and_score_match_plain_ftrl(spark, docs_of, words):
+    rows, marks = corpus(words)
+    rows, marks = rows + [(3, rows[3][1] + " zz"), (200, None), (201, "")], marks + [(200, 1, 0), (201, 0, 0)]
+    model = q.fit(docs_of(rows), labels_of(spark, marks))
+    least = {}
+    for i, t in rows:
+        least[i] = min(least.get(i, t or ""), t or "")
+    label = {i: y for i, y, _ in marks}
+    taught = spark.createDataFrame([(i,) for i in label], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) as o").orderBy("o").collect()
+    order = [r.doc_id for r in taught if zlib.crc32(str(r.doc_id).encode()) % 5]
+    plain = plain_ftrl([least[i].encode() for i in order], [label[i] for i in order], q.Settings())
+    assert {int(i) for i in np.flatnonzero(model)} <= plain.keys()
+    assert all(abs(model[i] - v) < 1e-5 for i, v in plain.items())
+    text = rows[7][1].encode()
+    _, feats, size = q.hashed_ngrams([text])
+    dot = sum(plain.get(int(f), 0.0) for f in feats) / math.sqrt(size[0]) + plain[1 << q.BITS]
+    got = q.score(docs_of([rows[7]]), model, "doc_id").first().score
+    assert abs(got - 1 / (1 + math.exp(-dot))) < 1e-4
