@@ -281,6 +281,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         first[part], total = total, total + sizes[part]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tokenizers.clear()  # encoding is over: a worker that later stages reuse holds no caches
         for batch in batches:
             for part, before, payload in zip(*(batch.column(c).to_pylist() for c in ("range", "before", "payload")), strict=True):
                 doc_ids, lens, ids = read_shard(payload)
