@@ -33,6 +33,9 @@ SKETCH_CHUNKS = 64
 BROADCAST_IDS = 1_000_000
 #: Pivot rounds before the remaining pairs are compared one by one.
 ROUNDS = 2
+#: Longs of a head's bitmap, a fixed number, and their columns.
+BITMAP_WORDS = 4
+BITMAP = tuple(f"bits{i}" for i in range(BITMAP_WORDS))
 NO_ID = -(2**63)
 
 
@@ -127,15 +130,24 @@ def prints(tokens: np.ndarray) -> np.ndarray:
     return short[:again.min() if len(again) else len(short)].view(np.int32)
 
 
+def print_bits(short: np.ndarray) -> list[int]:
+    """The prints as a bitmap of ``BITMAP_WORDS`` longs: each print sets the bit of its last eight binary digits."""
+    words = np.zeros(BITMAP_WORDS, np.uint64)
+    bit = short.view(np.uint32) & np.uint32(64 * BITMAP_WORDS - 1)
+    np.bitwise_or.at(words, bit >> np.uint32(6), np.uint64(1) << (bit & np.uint32(63)).astype(np.uint64))
+    return words.view(np.int64).tolist()
+
+
 def set_heads(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataFrame:
-    """One row per distinct set: sid, n, its prefix (tokens, rarest first in the global order) and its head, short prints of a
-    longer prefix. A print stands for its token in upper bounds only, where an accidental match of two sets does no harm."""
+    """One row per distinct set: sid, n, its prefix (tokens, rarest first in the global order), its head, short prints of a
+    longer prefix, and the head's bitmap. A print stands for its token in upper bounds only, where an accidental match of two
+    sets does no harm."""
     held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = held.value, set()
         for batch in pieces(batches, "text"):
-            sids, sizes, prefixes, heads = [], [], [], []
+            sids, sizes, prefixes, heads, bits = [], [], [], [], []
             for s in shingle_sets(utf8(batch.column("text")), n):
                 sid = set_id(s)
                 if not len(s) or sid in seen:
@@ -146,12 +158,13 @@ def set_heads(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> Data
                 sizes.append(len(s))
                 prefixes.append(first[:prefix_length(len(s), percent)].view(np.int64))
                 heads.append(prints(first))
+                bits.append(print_bits(heads[-1]))
             if sids:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int32()))],
-                    names=["sid", "n", "prefix", "head"])
+                    pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int32())),
+                    *(pa.array(w, pa.int64()) for w in zip(*bits))], names=["sid", "n", "prefix", "head", *BITMAP])
 
-    rows = map_arrow(docs.select("text"), run, "sid long, n int, prefix array<long>, head array<int>")
+    rows = map_arrow(docs.select("text"), run, "sid long, n int, prefix array<long>, head array<int>" + "".join(f", {w} long" for w in BITMAP))
     return materialise(rows.dropDuplicates(["sid"]), "heads")
 
 
@@ -189,6 +202,17 @@ def at_most_common(a_n: Column, a_head: Column, b_n: Column, b_head: Column) ->
     return F.least(F.size(F.array_intersect(a_head, b_head)) + F.greatest(a_n - F.size(a_head), b_n - F.size(b_head)), a_n, b_n)
 
 
+def at_most_common_bits(a_n: Column, a_size: Column, a_bits: list[Column], b_n: Column, b_size: Column, b_bits: list[Column]) -> Column:
+    """``at_most_common`` from the heads' sizes and bitmaps, never smaller: each bit that one head has alone is a token that it
+    does not share."""
+
+    def shared(size: Column, x: list[Column], y: list[Column]) -> Column:
+        return size - sum(F.bit_count(p.bitwiseAND(F.bitwise_not(q))) for p, q in zip(x, y, strict=True))
+
+    both = F.least(shared(a_size, a_bits, b_bits), shared(b_size, b_bits, a_bits))
+    return F.least(both + F.greatest(a_n - a_size, b_n - b_size), a_n, b_n)
+
+
 def possible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """The pairs whose heads leave room for ``percent`` of similarity."""
     a_n, b_n = F.col("a_n"), F.col("b_n")
@@ -294,17 +318,19 @@ def _pivot_round(docs: DataFrame, owners: DataFrame, heads: DataFrame, live: Dat
 
 
 def _open_pairs(live: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """The pairs that no pivot answers: of different components, possible by size and by heads. The heads are part of the join's
-    condition, so pairs that they rule out never leave it."""
-    live = live.join(heads.select("sid", "head"), "sid")
+    """The pairs that no pivot answers: of different components, possible by size and by heads. List entries carry the head's
+    bitmap only, as part of the join's condition; whole heads are fetched once for each distinct pair that it leaves."""
+    live = live.join(heads.select("sid", F.size("head").alias("size"), *BITMAP), "sid")
     marks = [c for c in live.columns if re.fullmatch(r"m\d+", c)]
     b = live.select("token", *(F.col(c).alias(f"_{c}") for c in live.columns if c != "token"))
     a_n, b_n = F.col("n"), F.col("_n")
     fits = (F.col("sid") < F.col("_sid")) & (F.col("root") != F.col("_root")) & (100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n))
     for m in marks:
         fits = fits & ~(((F.col(m) == 1) & (F.col(f"_{m}") == 2)) | ((F.col(m) == 2) & (F.col(f"_{m}") == 1)))
-    fits = fits & linked(at_most_common(a_n, F.col("head"), b_n, F.col("_head")), a_n, b_n, percent)
-    return live.join(b, "token").filter(fits).select(F.col("sid").alias("a"), F.col("_sid").alias("b"), F.col("n").alias("a_n"), F.col("_n").alias("b_n")).distinct()
+    most = at_most_common_bits(a_n, F.col("size"), [F.col(w) for w in BITMAP], b_n, F.col("_size"), [F.col(f"_{w}") for w in BITMAP])
+    pairs = live.join(b, "token").filter(fits & linked(most, a_n, b_n, percent)).select(
+        F.col("sid").alias("a"), F.col("_sid").alias("b"), F.col("n").alias("a_n"), F.col("_n").alias("b_n")).distinct()
+    return possible(materialise(pairs, "met"), heads, percent)
 
 
 # -- results --------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from citeloom.llm import jaccard_join as jj
 from citeloom.llm.words import lower_words
@@ -105,3 +106,20 @@ def test_equal_prints_in_a_head_keep_the_bound(spark):
     row = spark.createDataFrame([(5, head, 5, head)], "a int, ah array<int>, b int, bh array<int>")
     assert row.select(jj.at_most_common(row.a, row.ah, row.b, row.bh)).first()[0] == 5
     assert jj.prints(tokens[:2]).tolist() == [1, 2] and not len(jj.prints(tokens[:0]))
+
+
+def test_bitmap_bound_is_never_under_the_bound_of_heads(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for size in (1, 3, 40, 400) * 5:
+        base = rng.permutation(3 * size).astype(np.uint64) * np.uint64(2654435761)
+        a, b = (jj.prints(base[np.sort(rng.choice(2 * size, size, replace=False))]) for _ in "ab")
+        rows.append((size + 7, a.tolist(), jj.print_bits(a), size + 9, b.tolist(), jj.print_bits(b)))
+    row = spark.createDataFrame(rows, "a int, ah array<int>, ab array<long>, b int, bh array<int>, bb array<long>")
+    words = [[F.col(c)[i] for i in range(jj.BITMAP_WORDS)] for c in ("ab", "bb")]
+    out = row.select(
+        jj.at_most_common(row.a, row.ah, row.b, row.bh).alias("heads"), F.least("a", "b").alias("most"),
+        jj.at_most_common_bits(row.a, F.size("ah"), words[0], row.b, F.size("bh"), words[1]).alias("bits")).collect()
+    assert all(r.heads <= r.bits <= r.most for r in out) and any(r.bits < r.most for r in out)
