@@ -39,6 +39,15 @@ NOISE_WORDS = frozenset(
 #: Names of this list that content has too.
 EVERYDAY = frozenset("alert banner comment cookies discussion disclaimer form header legal menu notice notices promotion recommended related replies reply "
                      "respond search share sharing social sponsor subscription".split())
+#: Names of holders: with a name of noise and nothing else they name furniture ("comment-list", "ad-slot").
+HOLDERS = frozenset("area articles bar block body box container holder inner item items links list module outer pane panel posts row section "
+                    "slot stories strip thread unit wrap wrapper zone".split())
+#: Names of noise that do not decide by themselves even where they stand alone or with a holder's name.
+UNSURE = frozenset("alert discussion form header hidden legal menu".split())
+#: First words of names that speak of the page's layout, not of the element.
+LAYOUT = frozenset("has no with without".split())
+#: Elements that such a name decides on; running text, headings, tables and inline elements are none.
+CONTAINERS = frozenset("div section ul ol dl li details fieldset".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption hgroup".split())
 CLOSED_BY = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt", ("dl",)), "dd": ("dd", ("dl",)), "tr": ("tr", ("table",)),
              "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table"))}
@@ -74,10 +83,20 @@ class Block:
     named: tuple[Node, ...] = ()
 
 
+def furniture(value: str, main: bool) -> bool:
+    """Whether a class or id of ``value`` consists of names of noise and of holders only; outside an article a header does."""
+    for name in value.split():
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if words - HOLDERS and words <= HOLDERS | NOISE_WORDS and not (words & UNSURE) or not main and name.lower() == "header":
+            return True
+    return False
+
+
 def marked(tag: str, attrs: str, main: bool = False) -> tuple[str, bool, bool]:
     """The element's name in the tree (tag, classes and id without digits), whether its attributes name it as noise, and
     whether they hold a name that needs evidence: an everyday word, or inside an article (``main``) a word within a longer
-    class or id. The ids of plain elements and sections come from their headings; only a section's whole id may decide."""
+    class or id. A class or id of a container that names furniture and nothing else decides everywhere. The ids of plain elements
+    and sections come from their headings; only a section's whole id may decide."""
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
         return tag, False, False
     label, noise, maybe = tag, False, False
@@ -85,10 +104,12 @@ def marked(tag: str, attrs: str, main: bool = False) -> tuple[str, bool, bool]:
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
             label += ("." if name == "class" else "#") + " ".join(sorted(re.sub(r"\d+", "", value).split()))[:80].replace("/", "")
-            found = {w.lower() for w in _WORDS.findall(value)} & NOISE_WORDS
+            names = [[w.lower() for w in _WORDS.findall(n)] for n in value.split()]
+            found = {w for n in names if n and n[0] not in LAYOUT for w in n} & NOISE_WORDS
             if not found or name == "id" and tag in PLAIN:
                 continue
             headed = name == "id" and tag == "section"
+            noise |= tag in CONTAINERS and not headed and furniture(value, main)
             noise |= bool((found if not main and not headed else found & set(value.lower().split())) - EVERYDAY)
             maybe |= not headed
         elif name == "role":

@@ -37,6 +37,18 @@ def test_everyday_names_alone_do_not_decide():
     assert text(f"<body><div id='content'>{''.join(parts[:6])}</div></body>") == want[:-6]
 
 
+def test_names_of_furniture_alone_decide_on_containers():
+    names = ("comment-list", "comments-area", "commentList", "sidebar-widget", "ad-slot", "advert-box", "cookie-notice", "newsletter-box", "notice",
+             "comment", "share", "related-posts", "promo block share-bar")
+    gone = "".join(f"<div class='{n}'><p>out</p></div>" for n in names) + "<div id='comment-section'>out</div><ol class='comment-list'><li>out</ol>"
+    gone += "<section class='comments-area'><p>out</p></section>"
+    kept = "".join(f"<div class='{n}'><p>in</p></div>" for n in ("ad-hoc", "entry-header", "related-work", "discussion", "legal-text", "has-sidebar", "share-capital"))
+    kept += "<pre>x <span class='comment'>in</span></pre><section id='comments-on-method'><p>in</p></section><h2 id='social-security' class='notice'>in</h2><section id='related-posts'><p>in</p></section>"
+    assert text(SHELL.format(body=f"<article>{gone}{kept}</article>")) == "\n\n".join(["in"] * 7 + ["x", "in"] + ["in"] * 3)
+    long = "<p>Text of a page without article, long enough to stay.</p>"
+    assert text(f"<body><div class='header'>Site</div><div class='wrap no-sidebar'>{long}</div><div class='comment'>out</div><div class='share'>out</div></body>") == long[3:-4]
+
+
 def rows(spark, data):
     return spark.createDataFrame([(i, u, h, "x", "y") for i, (u, h) in enumerate(data)], "page_id long, url string, html string, host string, low string")
 
