@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +53,18 @@ def hashed_ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate([rows, rows[1:][same]]), np.concatenate([one, two]), 2 * it.lens - (it.lens > 0)
 
 
-def sparse_row(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of a text, ascending, and their values: counts over the root of the number of all features."""
+def packed_row(text: bytes) -> bytes:
+    """Number of all features of a text, steps between its distinct features (ascending) and their counts, compressed."""
     _, feats, size = hashed_ngrams([text])
     at, count = np.unique(feats, return_counts=True)
-    return at, count / np.sqrt(max(1, size[0]))
+    return zstandard.compress(np.concatenate([size, np.diff(at, prepend=0), count]).astype("<u4").tobytes())
+
+
+def unpacked_row(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of a text, ascending, and their values: counts over the root of the number of all features."""
+    held = np.frombuffer(zstandard.decompress(data), "<u4")
+    steps, counts = np.split(held[1:], 2)
+    return np.cumsum(steps, dtype=np.int64), counts / np.sqrt(max(1, int(held[0])))
 
 
 def fresh_state() -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +92,7 @@ def train_ftrl(texts: list[bytes], labels: list[int], s: Settings) -> np.ndarray
     """Weights after all passes over texts at hand; the last entry is the bias."""
     z, n = fresh_state()
     for _ in range(s.passes):
-        ftrl_pass(z, n, ((*sparse_row(t), y) for t, y in zip(texts, labels, strict=True)), s)
+        ftrl_pass(z, n, ((*unpacked_row(packed_row(t)), y) for t, y in zip(texts, labels, strict=True)), s)
     return ftrl_weights(z, n, s).astype(np.float32)
 
 
@@ -93,8 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, s
     doc_id is smallest, in that order. Repeated labels count as the highest, of repeated doc_ids the smallest text is taken.
     Without rows all weights are 0, so every score is a half.
 
-    Features are hashed where the texts are; one task per pass reads the sparse rows as one sorted stream and holds z, n and
-    one batch of rows.
+    Features are hashed where the texts are; one task per pass reads the compressed sparse rows as one sorted stream and holds
+    z, n and one batch of rows.
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
     ids = docs.select("doc_id").filter(~held_out()).join(marks, "doc_id").distinct()
@@ -106,14 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, s
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
-            found = [sparse_row(t) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([
-                *(batch.column(c) for c in names), pa.array([at.astype("<i4").tobytes() for at, _ in found], pa.binary()),
-                pa.array([x.astype("<f8").tobytes() for _, x in found], pa.binary())], names=[*names, "at", "x"])
+            found = pa.array(map(packed_row, utf8(batch.column("text"))), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), found], names=[*names, "row"])
 
     names = ["_order", "doc_id", "label"]
-    sparse = materialise(map_arrow(rows, features, rows.select(*names).schema.add("at", "binary").add("x", "binary")), "features")
-    stream = sparse.repartition(1).sortWithinPartitions("_order", "doc_id").select("label", "at", "x")
+    sparse = materialise(map_arrow(rows, features, rows.select(*names).schema.add("row", "binary")), "features")
+    stream = sparse.repartition(1).sortWithinPartitions("_order", "doc_id").select("label", "row")
     z, n = fresh_state()
     for _ in range(settings.passes):
         held = docs.sparkSession.sparkContext.broadcast((z, n))  # 16 MB whatever the input
@@ -121,8 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, s
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             z, n = (v.copy() for v in held.value)
             for batch in batches:
-                ftrl_pass(z, n, ((np.frombuffer(at.as_py(), "<i4"), np.frombuffer(x.as_py(), "<f8"), y.as_py())
-                                 for y, at, x in zip(*batch.columns, strict=True)), settings)
+                ftrl_pass(z, n, ((*unpacked_row(row.as_py()), y.as_py()) for y, row in zip(*batch.columns, strict=True)), settings)
             yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["z", "n"])
 
         z, n = (np.frombuffer(v) for v in map_arrow(stream, train, "z binary, n binary").first())
