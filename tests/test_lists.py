@@ -12,7 +12,7 @@ from citeloom.operators import context as cx
 from citeloom.operators import counts as ct
 from citeloom.operators import filters as fl
 from citeloom.operators import lists as ls
-from citeloom.operators import lookup, ranking
+from citeloom.operators import lookup, ranking, scan
 from citeloom.plans import ask as ak
 from citeloom.plans import index as ix
 from citeloom.plans import preflight as pf
@@ -314,3 +314,19 @@ def test_layouts_follow_sizes(spark, docs):
     size = ss.plan_bytes(written)
     assert 100_000 < size < 2_000_000 and ss.plan_bytes(written.join(F.broadcast(written.limit(3)), "id")) < 3 * size  # no product of both sides
     assert ss.pieces_of(written, size // 4, 2, 100) in (4, 5) and ss.pieces_of(written, 1, 2, 100) == 100
+
+
+@pytest.mark.parametrize("limit", [1, 16])
+@pytest.mark.parametrize("most", [3, 20_000])
+@pytest.mark.parametrize("local_seeds", [20_000, 0])
+def test_neighbors_without_lists_are_exact(idx, batch, limit, most, local_seeds):
+    asked = ranking.question_batch(batch, idx.stop, local_seeds=local_seeds)
+    got = scan.batch_neighbors(idx.terms, idx.counts, asked, idx.count_list.pick(asked.anchors), stop=idx.stop, limit=limit, most=most)
+    assert rows_of(got, "question_id", "neighbor", "score", "neighbor_rank") == plain_neighbors(idx, asked, limit)
+
+
+def test_one_batch_builds_no_lists(texts, index_of, idx, batch):
+    bare = index_of(*texts)
+    columns = ["question_id", "candidate_rank", "block_ordinal", "citation", "score", "density_score", "matched_anchors"]
+    assert rows_of(ak.ask(bare, batch).candidates, *columns) == rows_of(ak.ask(idx, batch).candidates, *columns)
+    assert idx.holds("neighbor_lists") and not any(bare.holds(n) for n in ("relations", "posting_lists", "neighbor_lists", "list_heads"))
