@@ -54,7 +54,7 @@ def table_stream(spark: SparkSession, path: str, *, key: str, text: str, prefix:
 
 
 def write_batch(batch: DataFrame, batch_id: int, root: str, *, window: int, stop, max_doc_bytes: int | None) -> None:
-    """Counts, relations, rejects and metrics of one batch."""
+    """Terms, counts, rejects and metrics of one batch; relations are counted from the stored terms when they are asked for."""
     part = f"batch_id={batch_id}"
     over = F.lit(False) if max_doc_bytes is None else F.col("file_bytes") > max_doc_bytes
     reason = (F.when(F.col("text").isNull(), F.lit("unreadable")).when(over, F.lit("over_size_limit"))
@@ -71,12 +71,11 @@ def write_batch(batch: DataFrame, batch_id: int, root: str, *, window: int, stop
      .write.mode("overwrite").parquet(f"{root}/terms/{part}"))
     terms = spark.read.parquet(f"{root}/terms/{part}")
     ct.anchor_counts(terms).write.mode("overwrite").parquet(f"{root}/counts/{part}")
-    ct.relation_counts(terms, window).write.mode("overwrite").parquet(f"{root}/relations/{part}")
     counted = spark.read.parquet(f"{root}/counts/{part}")
     (terms.agg(F.count_distinct("source_path").alias("sources"), F.count("*").alias("blocks"),
                F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("anchor_observations"),
                F.coalesce(F.sum(ct.relation_total(F.size("terms"), window)), F.lit(0)).alias("relation_observations"))
-     .withColumn("unique_anchors", F.lit(counted.count()))
+     .withColumn("unique_anchors", F.lit(counted.count())).withColumn("window", F.lit(window))
      .write.mode("overwrite").parquet(f"{root}/metrics/{part}"))
 
 
@@ -98,7 +97,11 @@ def total_counts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def total_relations(spark: SparkSession, root: str) -> DataFrame:
-    return ct.merge_counts(spark.read.parquet(f"{root}/relations").drop("batch_id"), keys=["anchor", "neighbor", "offset"])
+    """Relations of all batches, each by its own window: blocks never span batches, so their terms add up."""
+    terms, metrics = spark.read.parquet(f"{root}/terms"), spark.read.parquet(f"{root}/metrics")
+    windows = sorted(r[0] for r in metrics.select("window").distinct().collect())
+    parts = [ct.relation_counts(terms.join(F.broadcast(metrics.filter(F.col("window") == w).select("batch_id")), "batch_id", "left_semi"), w) for w in windows]
+    return parts[0] if len(parts) == 1 else ct.merge_counts(*parts, keys=["anchor", "neighbor", "offset"])
 
 
 def run_totals(spark: SparkSession, root: str) -> DataFrame:

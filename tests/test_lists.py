@@ -330,3 +330,46 @@ def test_one_batch_builds_no_lists(texts, index_of, idx, batch):
     columns = ["question_id", "candidate_rank", "block_ordinal", "citation", "score", "density_score", "matched_anchors"]
     assert rows_of(ak.ask(bare, batch).candidates, *columns) == rows_of(ak.ask(idx, batch).candidates, *columns)
     assert idx.holds("neighbor_lists") and not any(bare.holds(n) for n in ("relations", "posting_lists", "neighbor_lists", "list_heads"))
+
+
+@pytest.mark.parametrize("most", [3, 20_000])
+def test_lookups_without_lists_are_exact(idx, spark, most):
+    from citeloom.operators import frames as fr
+
+    asked = spark.createDataFrame([("wak",), ("crane",), ("harbor",), ("zebra",)], "anchor string")
+    columns = ["anchor", "neighbor", "offset", "observations", "neighbor_rank"]
+    assert rows_of(lookup.scanned_neighbors(idx.terms, idx.counts, asked, 4, small=True, most=most), *columns) == rows_of(
+        lookup.anchor_neighbors(idx.relations, asked, 4), *columns)
+    columns = ["anchor", "neighbor", "offset", "observations", "cloud_rank"]
+    for small in (True, False):
+        assert rows_of(fr.scanned_cloud(idx.terms, idx.counts, asked, small=small, cloud_k=3, most=most), *columns) == rows_of(
+            fr.relation_cloud(idx.relations, asked, small=True, cloud_k=3), *columns)
+    columns = ["anchor", "neighbor", "observations", "item_rank"]
+    for small in (True, False):
+        assert rows_of(scan.strongest(idx.terms, idx.counts, asked, 3, small=small, most=most), *columns) == rows_of(
+            pf.strongest(idx, asked, ["wak", "crane", "harbor", "zebra"], 3, True), *columns)
+    columns = ["anchor", "block_ordinal", "occurrences", "positions", "block_rank"]
+    assert rows_of(lookup.scanned_blocks(idx.terms, asked, 4, small=True), *columns) == rows_of(
+        lookup.anchor_blocks(idx.posting_lists, idx.terms, asked, 4), *columns)
+
+
+def test_question_terms_need_no_ranking(spark):
+    from citeloom.catalog import queries as catalog
+    from citeloom.catalog.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert catalog.question_seeds(t).count() and catalog.question_lexicon(t).count() and catalog.anchor_blocks(t).count()
+    assert "packets" not in t.__dict__ and not t.docs.holds("posting_lists")
+
+
+def test_intake_spreads_batches_and_keeps_terms_alone(spark, tmp_path):
+    from citeloom.session import spread
+
+    held = spark.createDataFrame(spark.sparkContext.parallelize([(i, "crane cargo") for i in range(40)], 1), "id int, text string")
+    assert held.rdd.getNumPartitions() == 1 and spread(held).rdd.getNumPartitions() > 1  # a frame of unknown size, as a batch is
+    src = str(tmp_path / "rows.parquet")
+    held.write.parquet(src)
+    out = str(tmp_path / "out")
+    intake.start_intake(intake.table_stream(spark, src, key="id", text="text", prefix="d"), out, str(tmp_path / "cp"), window=1).awaitTermination()
+    assert not (tmp_path / "out" / "relations").exists()
+    assert rows_of(intake.total_relations(spark, out), "anchor", "neighbor", "offset", "observations") == [("cargo", "crane", -1, 40), ("crane", "cargo", 1, 40)]
