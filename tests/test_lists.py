@@ -373,3 +373,15 @@ def test_intake_spreads_batches_and_keeps_terms_alone(spark, tmp_path):
     intake.start_intake(intake.table_stream(spark, src, key="id", text="text", prefix="d"), out, str(tmp_path / "cp"), window=1).awaitTermination()
     assert not (tmp_path / "out" / "relations").exists()
     assert rows_of(intake.total_relations(spark, out), "anchor", "neighbor", "offset", "observations") == [("cargo", "crane", -1, 40), ("crane", "cargo", 1, 40)]
+
+
+def test_status_and_checksums_need_no_lists(idx, texts, index_of):
+    from citeloom.plans import receipts as rc
+
+    bare = index_of(*texts)
+    columns = ["table_name", "row_count", "xor_hash", "sum_hash"]
+    assert rows_of(rc.index_checksums(bare), *columns) == rows_of(rc.index_checksums(idx), *columns)
+    want = {("blocks", idx.blocks.count()), ("terms", idx.terms.count()), ("counts", idx.counts.count()), ("lexicon", idx.lexicon.count()),
+            ("relations", idx.relations.count()), ("pairs", idx.pairs.count())}
+    assert set(rows_of(rc.dataset_status(bare), "table_name", "row_count")) == want
+    assert not any(bare.holds(n) for n in ("relations", "neighbor_lists"))
