@@ -385,3 +385,25 @@ def test_status_and_checksums_need_no_lists(idx, texts, index_of):
             ("relations", idx.relations.count()), ("pairs", idx.pairs.count())}
     assert set(rows_of(rc.dataset_status(bare), "table_name", "row_count")) == want
     assert not any(bare.holds(n) for n in ("relations", "neighbor_lists"))
+
+
+def test_named_ranks_by_bisection_are_places_in_order(idx, batch):
+    r = ak.rank_blocks(idx, batch)
+    gold = r.scored.filter("block_ordinal % 5 < 2").select("question_id", "block_ordinal")
+    columns = ["question_id", "gold_ordinal", "full_rank"]
+    got = ranking.rank_of(r.scored, gold, False)
+    assert rows_of(got, *columns) == rows_of(ranking.rank_of(r.scored, gold, False, named=0), *columns)
+    assert "repartitionByRange" not in plan(got) and "rangepartitioning" not in plan(got).lower()
+
+
+def test_phrases_alike_in_the_key_alone_end_in_the_join(spark, index_of, monkeypatch):
+    from citeloom.sources import watchlists
+
+    # one that holds the phrase inside longer words, one that has the key's characters only
+    built = index_of("the undercrane liftsman came", "a brine lift stood", "crane lifts")
+    written = {}
+    monkeypatch.setattr(cx, "materialise", lambda df, name: written.setdefault(name, df.localCheckpoint()))
+    entries = spark.createDataFrame([(0, "crane lift", "c", "low"), (1, "marine lift", "c", "low")], "source_index int, surface string, class string, severity string")
+    hits = cx.phrase_hits(built.blocks, built.terms, watchlists.clean_watchlist(entries), small=True)
+    assert sorted((h.surface, h.block_ordinal) for h in hits.collect()) == [("crane lift", 0), ("crane lift", 2)]
+    assert written["pairs"].count() == 2
