@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citeloom import fixed_values as fv
 from citeloom.operators import blocks as bl
 from citeloom.operators import context as cx
 from citeloom.operators import counts as ct
@@ -407,3 +408,31 @@ def test_phrases_alike_in_the_key_alone_end_in_the_join(spark, index_of, monkeyp
     hits = cx.phrase_hits(built.blocks, built.terms, watchlists.clean_watchlist(entries), small=True)
     assert sorted((h.surface, h.block_ordinal) for h in hits.collect()) == [("crane lift", 0), ("crane lift", 2)]
     assert written["pairs"].count() == 2
+
+
+def test_suggestion_pieces_stand_where_a_match_allows(spark, monkeypatch):
+    import math
+    from difflib import SequenceMatcher
+
+    from citeloom.operators import suggest
+
+    held = suggest.gestalt_ratio
+
+    rng = random.Random(5)
+    words = sorted({"c" + "".join(rng.choices("abc", k=rng.randint(3, 9))) for _ in range(160)})
+    absent, known = words[::2], words[1::2]
+    frame = lambda ws: spark.createDataFrame([(w, 1) for w in ws], "anchor string, observations long")
+    best = {(a, k) for a in absent for k in known if abs(len(a) - len(k)) <= fv.SUGGEST_LENGTH_GAP and len(a) >= fv.SUGGEST_MIN_CHARS
+            and SequenceMatcher(None, a, k).ratio() >= fv.SUGGEST_MIN_RATIO}
+    asked = {(r.anchor, r.candidate) for r in suggest.suggestion_pairs(frame(absent), frame(known)).collect()}
+    assert best and best <= asked
+    assert "at#" in plan(suggest.suggestion_pairs(frame(absent), frame(known)))  # the place is part of the key
+    near = []
+    monkeypatch.setattr(suggest, "gestalt_ratio", lambda a, b: near.append((a, b)) or held(a, b))
+    fit = lambda a, k: SequenceMatcher(None, a, k).ratio() + min(0.1, math.log1p(1) / 100)
+    got = {r.anchor: (r.suggested_anchor, round(r.fit_score, 9)) for r in suggest.suggest_anchors(frame(absent), frame(known)).collect()}
+    want = {}
+    for a, k in sorted(best):
+        if a not in want or fit(a, k) > want[a][1] + 1e-12:
+            want[a] = (k, fit(a, k))
+    assert got == {a: (k, round(f, 9)) for a, (k, f) in want.items()} and len(near) == 2  # rated in two rounds
