@@ -266,13 +266,16 @@ def _skip_blocks(entries: DataFrame, percent: int) -> DataFrame:
     below = (F.col("_band") - F.lag("_band").over(line) == 1) & meets(F.col("_lo"), F.lag("_reach").over(line))
     above = (F.lead("_band").over(line) - F.col("_band") == 1) & meets(F.lead("_lo").over(line), F.col("_reach"))
     kept = blocks.withColumn("_kept", inside | F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False))).filter("_kept").select("token", "_band")
-    return entries.join(kept, ["token", "_band"]).drop("_band", "pos")
+    return entries.join(kept, ["token", "_band"]).drop("_band")
 
 
 def _one_list_each(entries: DataFrame) -> DataFrame:
-    """Lists that hold the same sets ask the same questions: one of them stays. They are told apart by digests of their sets."""
-    prints = entries.groupBy("token").agg(F.count("*").alias("_m"), F.bit_xor("sid").alias("_x"), F.bit_xor(F.xxhash64("sid")).alias("_y"))
-    return entries.join(prints.filter("_m > 1").groupBy("_m", "_x", "_y").agg(F.min("token").alias("token")).select("token"), "token")
+    """Lists that hold the same sets ask the same questions: one of them stays. They are told apart by digests of their sets.
+    The one whose token comes first in the global order stays; in each of its sets it stands before the tokens of the others."""
+    prints = entries.groupBy("token").agg(
+        F.count("*").alias("_m"), F.bit_xor("sid").alias("_x"), F.bit_xor(F.xxhash64("sid")).alias("_y"), F.min("pos").alias("_at"))
+    first = prints.filter("_m > 1").groupBy("_m", "_x", "_y").agg(F.min(F.struct("_at", "token"))["token"].alias("token"))
+    return entries.join(first.select("token"), "token")
 
 
 def _accepted(known: DataFrame, percent: int) -> DataFrame:
@@ -318,13 +321,19 @@ def _pivot_round(docs: DataFrame, owners: DataFrame, heads: DataFrame, live: Dat
 
 
 def _open_pairs(live: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """The pairs that no pivot answers: of different components, possible by size and by heads. List entries carry the head's
+    """The pairs (the larger set as a) that no pivot answers: of different components, possible by size, by place and by heads.
+
+    A pair is met at the first token that both sets hold, so it shares no more than either set has from there on; a list that
+    is not their first meets them in vain and gives no row. In a link the smaller set's first shared token stands within
+    ``(100 - percent) / (100 + percent)`` of its size, so lists are joined with their early entries alone. Entries carry the head's
     bitmap only, as part of the join's condition; whole heads are fetched once for each distinct pair that it leaves."""
     live = live.join(heads.select("sid", F.size("head").alias("size"), *BITMAP), "sid")
     marks = [c for c in live.columns if re.fullmatch(r"m\d+", c)]
-    b = live.select("token", *(F.col(c).alias(f"_{c}") for c in live.columns if c != "token"))
+    early = live.filter((100 + percent) * F.col("pos") <= (100 - percent) * F.col("n"))
+    b = early.select("token", *(F.col(c).alias(f"_{c}") for c in live.columns if c != "token"))
     a_n, b_n = F.col("n"), F.col("_n")
-    fits = (F.col("sid") < F.col("_sid")) & (F.col("root") != F.col("_root")) & (100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n))
+    fits = ((a_n > b_n) | ((a_n == b_n) & (F.col("sid") < F.col("_sid")))) & (F.col("root") != F.col("_root")) & linked(
+        F.least(a_n - F.col("pos"), b_n - F.col("_pos")), a_n, b_n, percent)
     for m in marks:
         fits = fits & ~(((F.col(m) == 1) & (F.col(f"_{m}") == 2)) | ((F.col(m) == 2) & (F.col(f"_{m}") == 1)))
     most = at_most_common_bits(a_n, F.col("size"), [F.col(w) for w in BITMAP], b_n, F.col("_size"), [F.col(f"_{w}") for w in BITMAP])

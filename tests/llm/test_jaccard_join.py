@@ -82,6 +82,32 @@ def test_large_group_needs_few_comparisons(docs_of, words):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 3, 90)
 
 
+def test_unlike_copies_are_not_met_list_by_list(docs_of, words, monkeypatch):
+    """Copies with 16 of 302 shingles of their own: no two link, but their bitmaps left every pair open in every list that some
+    other text, here one of two halves, holds early."""
+    bases = [words(304).split() for _ in "ab"]
+    rows = [(100 * j + i, " ".join(f"v{j}x{i}x{k}" if (k - 4) % 60 == 2 * i or k == 2 * i + 65 else w for k, w in enumerate(base)))
+            for j, base in enumerate(bases) for i in range(27)]
+    rows.append((300, " ".join(bases[0][:152] + bases[1][152:])))
+    met, plain = [], jj.materialise
+
+    def seen(df, name, *by):
+        out = plain(df, name, *by)
+        if name == "met":
+            met.append(out.count())
+        return out
+    monkeypatch.setattr(jj, "materialise", seen)
+    got = jj.near_duplicates(docs_of(rows), n=3, percent=90)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 3, 90)
+    assert sum(met) <= 54
+
+
+def test_of_equal_lists_the_first_token_stays(spark):
+    rows = [(7, 5, 9, 3), (8, 5, 9, 2), (7, 5, 4, 5), (8, 5, 4, 6), (7, 5, 6, 0)]  # tokens 9 and 4 hold the same sets
+    entries = spark.createDataFrame(rows, "sid long, n int, token long, pos int")
+    assert sorted((r.sid, r.token, r.pos) for r in jj._one_list_each(entries).collect()) == [(7, 9, 3), (8, 9, 2)]
+
+
 def test_empty_table(docs_of):
     assert jj.near_duplicates(docs_of([]), n=3, percent=90).count() == 0
     assert jj.first_of_groups(docs_of([]), n=3, percent=90).count() == 0
