@@ -99,15 +99,15 @@ def train_ftrl(texts: list[bytes], labels: list[int], s: Settings) -> np.ndarray
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, settings: Settings = Settings()) -> np.ndarray:
     """Model of the quality labels, fitted on the ``sample_rows`` labelled documents outside the held-out fifth whose hashed
     doc_id is smallest, in that order. Repeated labels count as the highest, of repeated doc_ids the smallest text is taken.
-    Without rows all weights are 0, so every score is a half.
+    Without rows or passes all weights are 0, so every score is a half.
 
-    Features are hashed where the texts are; one task per pass reads the compressed sparse rows as one sorted stream and holds
-    z, n and one batch of rows.
+    Features are hashed where the texts are; one task reads the compressed sparse rows as one sorted stream, pass after pass, and
+    holds z, n and one batch of rows. Only the weights leave it, compressed, so the driver sees neither z nor n.
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
     ids = docs.select("doc_id").filter(~held_out()).join(marks, "doc_id").distinct()
     chosen = materialise(ids.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(sample_rows), "sample")
-    if chosen.isEmpty():
+    if not settings.passes or chosen.isEmpty():
         return np.zeros((1 << BITS) + 1, np.float32)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("_order", "doc_id").agg(  # sample_rows ids at most
         F.min("text").alias("text"), F.first("label").alias("label"))
@@ -119,20 +119,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, s
 
     names = ["_order", "doc_id", "label"]
     sparse = materialise(map_arrow(rows, features, rows.select(*names).schema.add("row", "binary")), "features")
-    stream = sparse.repartition(1).sortWithinPartitions("_order", "doc_id").select("label", "row")
-    z, n = fresh_state()
-    for _ in range(settings.passes):
-        held = docs.sparkSession.sparkContext.broadcast((z, n))  # 16 MB whatever the input
-
-        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            z, n = (v.copy() for v in held.value)
-            for batch in batches:
-                ftrl_pass(z, n, ((*unpacked_row(row.as_py()), y.as_py()) for y, row in zip(*batch.columns, strict=True)), settings)
-            yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["z", "n"])
-
-        z, n = (np.frombuffer(v) for v in map_arrow(stream, train, "z binary, n binary").first())
-        held.destroy()
-    return ftrl_weights(z, n, settings).astype(np.float32)
+    passes = F.explode(F.sequence(F.lit(1), F.lit(settings.passes)))
+    stream = sparse.withColumn("_pass", passes).repartition(1).sortWithinPartitions("_pass", "_order", "doc_id").select("label", "row")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, n = fresh_state()
+        for batch in batches:
+            ftrl_pass(z, n, ((*unpacked_row(row.as_py()), y.as_py()) for y, row in zip(*batch.columns, strict=True)), settings)
+        weights = ftrl_weights(z, n, settings).astype("<f4")
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(weights.tobytes())], pa.binary())], names=["weights"])
+
+    return np.frombuffer(zstandard.decompress(map_arrow(stream, train, "weights binary").first()["weights"]), "<f4")
 
 
 def score(docs: DataFrame, model: np.ndarray, *carry: str, into: str = "score") -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import zlib
 
 import numpy as np
+import pytest
 
 from citeloom.llm import quality as q
 
@@ -53,6 +54,18 @@ def test_learning_never_reads_held_out_rows(spark, docs_of, words):
     assert (q.fit(docs_of(rows), labels_of(spark, marks)) == q.fit(docs_of(rows), labels_of(spark, turned))).all()
 
 
+def test_training_state_stays_in_the_task(spark, docs_of, words, monkeypatch):
+    """z and n (16 MB) went to the driver and out again with every pass."""
+    rows, marks = corpus(words)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("the fit sends state through the driver"))
+    texts = dict(rows)
+    order = spark.createDataFrame([(i,) for i in texts], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) as o").orderBy("o").collect()
+    order = [r.doc_id for r in order if zlib.crc32(str(r.doc_id).encode()) % 5]
+    for s in (q.Settings(passes=1), q.Settings(passes=3)):
+        want = q.train_ftrl([texts[i].encode() for i in order], [marks[i][1] for i in order], s)
+        assert (q.fit(docs_of(rows), labels_of(spark, marks), settings=s) == want).all()
+
+
 def test_odd_rows(spark, docs_of, words):
     rows, marks = corpus(words)
     odd = [(None, "text"), (500, None), (501, ""), (502, "w " * 100000), (3, rows[3][1]), (3, rows[3][1])]
