@@ -64,6 +64,22 @@ def test_hit_caps(chat, spark):
     assert {r.block_ordinal for r in dated.hits.collect()} == {2} and dated.around.count() == 1
 
 
+def test_event_terms_are_counted_inside_the_row(spark):
+    """Terms around hits were exploded, shuffled and sorted; with one block a side the row holds all that is counted."""
+    texts = [["bb", "aa", "cc", "bb", "x", "aa", "the", "bb"], [], None, ["dd"] * 3 + [f"t{i:02d}" for i in range(40)], ["zz", "aa", "zz", "a"]]
+    rows = [(s, b, d, side, "crane", "praise", (b + d, texts[(b + d) % len(texts)], "2024-01-02", "user", "m", "id"))
+            for s, b in ((1, 10), (1, 13), (2, 13)) for d, side in ((-1, "prior"), (0, "hit"), (1, "next"))]
+    ctx = "struct<block_ordinal: long, terms: array<string>, date: string, speaker: string, marker: string, block_id: string>"
+    around = spark.createDataFrame(rows, f"source_index int, block_ordinal long, distance int, side string, anchor string, class string, ctx {ctx}")
+    around = around.withColumn("ctx", F.col("ctx").withField("created_at", F.lit("2024-01-02")))
+    for shaped in (False, True):
+        inside = cx.event_rows(around, shaped=shaped, single=True)
+        assert sorted(map(str, inside.collect())) == sorted(map(str, cx.event_rows(around, shaped=shaped).collect()))
+    keys = ["source_index", "block_ordinal"]
+    assert "explode" in cx.top_context(around, keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in cx.top_context(around, keys, single=True)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_phrase_hits_equal_brute_force(spark, docs):
     texts = ["Do not  undo nothing", "we must do not", "plain talk", "of the", "stop it now", "a b c", "xdo notx y", "NOW"]
     surfaces = ["do not", "of the", "now", "stop it", "b c", "a b c", "it now", "plain", "o n"]
