@@ -24,11 +24,12 @@ MODE_NOTES = {
 
 def phrases_present(lowered: Column, phrases) -> Column:
     """Phrases of a group that occur: multi-word ones as a substring, single words between
-    characters that are no letter, digit, underscore or apostrophe."""
+    characters that are no letter, digit, underscore or apostrophe. Most words are in no text, which a search without pattern
+    settles first."""
     def found(p: str) -> Column:
         if " " in p:
             return lowered.contains(p)
-        return lowered.rlike(rf"(?<![\p{{L}}\p{{N}}_']){re.escape(p)}(?![\p{{L}}\p{{N}}_'])")
+        return lowered.contains(p) & lowered.rlike(rf"(?<![\p{{L}}\p{{N}}_']){re.escape(p)}(?![\p{{L}}\p{{N}}_'])")
     return F.array_compact(F.array(*[F.when(found(p), F.lit(p)) for p in phrases]))
 
 

@@ -259,6 +259,15 @@ def test_vocabulary(spark):
     assert vc.relation_phrase("Related") == "is related to"
 
 
+def test_phrases_are_searched_before_patterns_run(spark):
+    phrases = ["now", "can't", "c++", "a b", "é"]
+    texts = ["now", "snow", "now's", "can't", "c++ now", "xc++", "xa by", "é", "né", "", None, "_now", "now_ now"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rt.phrases_present(F.col("t"), phrases).alias("found"))
+    assert [r.found for r in df.collect()] == [["now"], [], [], ["can't"], ["now", "c++"], [], ["a b"], ["é"], [], [], [], [], ["now"]]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Contains(") == len(phrases)
+
+
 @pytest.mark.parametrize("text,mode", [
     ("This is garbage, delete everything!", "DESTRUCTIVE_COMMAND_LOCK"), ("Run it now", "AMBIGUITY_MODE"),
     ("I am fed up with this garbage", "VENT_MODE"), ("Back up my project dataset folder", "SYSTEM_COMMAND_MODE"),
