@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from citeloom import fixed_values as fv
 from citeloom.functions import text as tx
+from citeloom.session import materialise
 
 
 def key_of(c: Column) -> Column:
@@ -69,11 +70,12 @@ def relation_phrase(name: str, phrases: dict[str, str] | None = None) -> str:
 
 def assemble_paths(paths: DataFrame, vocabulary: DataFrame, glue=fv.GLUE_PREFERENCE) -> DataFrame:
     """Sentences from term paths: (path_id, terms, citations). Every term must carry meaning;
-    the first unsupported one refuses the path. Allowed glue only joins."""
+    the first unsupported one refuses the path. Allowed glue only joins. Paths are written once, for what makes their terms may
+    be dear and both the decisions and the sentences read them."""
     usable = vocabulary.filter(F.col("term").isin(list(glue)) & F.col("can_emit")).agg(
         F.collect_set("term").alias("_glue")).withColumn("_k", F.lit(1))
     joiner = F.coalesce(*[F.when(F.array_contains("_glue", g), F.lit(g)) for g in glue], F.lit(""))
-    cleaned = paths.withColumn("terms", F.transform("terms", tx.squeeze))
+    cleaned = materialise(paths.withColumn("terms", F.transform("terms", tx.squeeze)), "paths")
     flat = cleaned.select("path_id", F.posexplode("terms").alias("at", "term"))
     bad = surface_decisions(flat, vocabulary).filter(~F.col("meaningful")).groupBy("path_id").agg(
         F.min_by(F.struct(F.lower("term").alias("term"), "authority"), "at").alias("_bad"))

@@ -259,6 +259,16 @@ def test_vocabulary(spark):
     assert vc.relation_phrase("Related") == "is related to"
 
 
+def test_paths_make_their_terms_once(spark):
+    """The terms of every text were made anew for the decisions, for their filter and for the sentences."""
+    v = vc.build_vocabulary(spark.createDataFrame([("crane", "0x1", 3)], "anchor string, symbol string, observations long"))
+    paths = spark.createDataFrame([("p", "crane  crane"), ("q", "crane zebra")], "path_id string, text string").select(
+        "path_id", F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)).alias("terms"), F.array(F.lit("[c]")).alias("citations"))
+    out = vc.assemble_paths(paths, v)
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.path_id: r.refusal_reason for r in out.collect()} == {"p": None, "q": "unsupported_meaning_anchor:zebra"}
+
+
 def test_phrases_are_searched_before_patterns_run(spark):
     phrases = ["now", "can't", "c++", "a b", "é"]
     texts = ["now", "snow", "now's", "can't", "c++ now", "xc++", "xa by", "é", "né", "", None, "_now", "now_ now"]
