@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from citeloom.llm import jaccard_join, leaks, mixing, quality, token_planes  # noqa: E402
+from citeloom.llm import jaccard_join, leaks, mixing, quality, tasks, token_planes  # noqa: E402
 from citeloom.session import materialise  # noqa: E402
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,16 +26,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score of 0.3 or more)."""
+    tasks.short_batches(spark)
     return quality.accepted(docs.select(*COLUMNS), _table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document, by doc_id, of each group that links of similarity 0.8 connect."""
+    tasks.short_batches(spark)
     return jaccard_join.first_of_groups(docs.select(*COLUMNS), n=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a stretch near a test item."""
+    tasks.short_batches(spark)
     return leaks.without_leaks(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"))
 
 
@@ -46,6 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of all rows, read back: doc_id, start, n_tokens, ids_crc32."""
+    tasks.short_batches(spark)
     return token_planes.encode_documents(docs.select(*COLUMNS))
 
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as cp
@@ -35,6 +36,25 @@ def test_stages_survive_no_documents(spark):
         assert stage(spark, docs, SF).count() == 0
 
 
+def test_stages_hand_short_batches_to_python(spark):
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(most)
+    rows = spark.range(5000).repartition(1)
+    sizes = lambda: [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+    try:
+        for name, stage in cp.STAGES:
+            if name == "source_mixing":  # native
+                continue
+            spark.conf.set(most, "10000")
+            stage(spark, cp._table(spark, SF, "documents"), SF)
+            assert max(sizes()) <= 1000 and sum(sizes()) == 5000, name
+        spark.conf.set(most, "300")
+        cp.tasks.short_batches(spark)
+        assert max(sizes()) <= 300
+    finally:
+        spark.conf.set(most, before)
+
+
 def test_run_writes_every_kept_row(spark):
     out = cp.run(spark, SF).orderBy("start").collect()
     at = 0
