@@ -436,3 +436,25 @@ def test_suggestion_pieces_stand_where_a_match_allows(spark, monkeypatch):
         if a not in want or fit(a, k) > want[a][1] + 1e-12:
             want[a] = (k, fit(a, k))
     assert got == {a: (k, round(f, 9)) for a, (k, f) in want.items()} and len(near) == 2  # rated in two rounds
+
+
+def test_tasks_hold_a_bounded_number_of_pairs(spark, texts, index_of, monkeypatch):
+    """Without lists: pieces follow blocks times questions, and contenders by direct hits give the first blocks of all pairs."""
+    monkeypatch.setattr(ranking, "PAIRS_A_TASK", 20)
+    monkeypatch.setattr(ranking, "TERMS_A_TASK", 100)
+    built = index_of(*texts)
+    asked = spark.createDataFrame([("a", "crane wak wal"), ("b", "cargo"), ("c", "whn crane harbor"), ("d", "unheard"), ("e", "cargo harbor wcl")], QUESTIONS)
+    r = ak.rank_blocks(built, asked)
+    columns = ("question_id", "block_ordinal", "direct_hit_count", "score", "density", "candidate_rank")
+    assert ranking.cut_by_pairs(built.terms, r.damped).rdd.getNumPartitions() >= 14  # 70 blocks, 4 questions with weights
+    assert ranking.cut_by_terms(built.terms).rdd.getNumPartitions() > 8
+    scored = ranking.score_blocks(built.terms, r.damped, True)
+    assert rows_of(r.scored, *columns[:-1]) == rows_of(scored, *columns[:-1])
+    for depth in (1, 4, 30, 500):
+        for small in (True, False):
+            assert rows_of(ranking.best_blocks(built.terms, r.damped, depth, small), *columns) == rows_of(ranking.top_blocks(scored, depth), *columns)
+    ids = spark.createDataFrame([("wak",), ("crane",)], "anchor string")
+    pairs = scan.asked_relations(built.terms, ids, small=True)
+    want = ct.relation_counts(built.terms).filter(F.col("anchor").isin("wak", "crane"))
+    assert rows_of(pairs, "anchor", "neighbor", "offset", "observations") == rows_of(want, "anchor", "neighbor", "offset", "observations")
+    assert "numPartitions" not in plan(pairs) and "REPARTITION_BY_NUM" in plan(pairs)
