@@ -17,6 +17,7 @@ from citeloom.operators import lookup, ranking, scan
 from citeloom.plans import ask as ak
 from citeloom.plans import index as ix
 from citeloom.plans import preflight as pf
+from citeloom.session import write_bucketed
 from citeloom.sources import corpus
 from citeloom.sources import large_text as lt
 from citeloom.sources import transcripts as tr
@@ -468,3 +469,18 @@ def test_packet_diff_counts_neighbours_once(spark, monkeypatch):
     monkeypatch.setattr(ak, "batch_neighbors", lambda *a: asked.append(1) or count(*a))
     queries.packet_diff(Tables(spark, "/root/testdata/sf0.001"))
     assert len(asked) == 1
+
+
+def test_buckets_follow_bytes(spark, tmp_path):
+    """The step that reads most in the index's build: a bucket is read and sorted by one task, so its bytes stay bounded."""
+    def noise(batches):
+        import os
+
+        import pyarrow as pa
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "body": [os.urandom(1 << 18) for _ in range(batch.num_rows)]})
+    spark.range(0, 640, 1, 4).mapInArrow(noise, "id bigint, body binary").write.parquet(f"{tmp_path}/rows")
+    buckets = write_bucketed(spark.read.parquet(f"{tmp_path}/rows"), f"{tmp_path}/buckets", "id")
+    files = [f.stat().st_size for f in (tmp_path / "buckets").glob("part-*")]
+    assert sum(files) > 160 << 20 and len(files) == buckets == -(-sum(f.stat().st_size for f in (tmp_path / "rows").glob("part-*")) // (16 << 20))
+    assert max(files) < 32 << 20
