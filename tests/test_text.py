@@ -3,8 +3,10 @@
 import hashlib
 import os
 from collections import Counter
+from zlib import crc32
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
@@ -208,6 +210,54 @@ def test_relations_over_chunk_edges(chunk, most):
     assert got == want
 
 
+@pytest.mark.parametrize("chunk,parts", [(3, 5), (1 << 19, 1)])
+def test_asked_pairs_over_chunk_edges(chunk, parts):
+    """Asked pairs, cut in their part, and totals of asked terms that a bitmap names, against brute force."""
+    rows = [["a", "b", "a", None, "a", "b", "d"], [], None, ["b"], ["é", "a", "b", "a"], ["a", "a", "a"]] * 3
+    window = 3
+    want, totals, later = Counter(), Counter(), set()
+    for r in rows:
+        for i, x in enumerate(r or []):
+            for j, y in enumerate(r):
+                if 0 < abs(i - j) <= window:
+                    want[x, y, j - i] += 1
+                    totals[x, y] += 1
+                    later |= {(x, y, j - i)}
+
+    def run(merger, **kind):
+        batches = [pa.RecordBatch.from_pydict({"terms": pa.array(rows[s:s + 7], pa.list_(pa.string()))}) for s in range(0, len(rows), 7)]
+        counted = pa.Table.from_batches(ct.chunk_counter(window, parts, chunk, **kind)(iter(batches)))
+        return [r for part in range(parts) for out in merger(iter(counted.filter(pc.field("part") == part).combine_chunks().to_batches(max_chunksize=2)))
+                for r in out.to_pylist()]
+
+    asked, near = pa.array(["a", "é"]), pa.array(["a", "b", "d"])
+    got = run(ct.part_merger(2, 2, ct.list_fronts()), asked=asked, near=near, drop=pa.array(["d"]), directed=True)
+    assert {(r["anchor"], r["neighbor"], r["offset"]): r["observations"] for r in got} == {
+        k: n for k, n in want.items() if k[0] in ("a", "é") and k[1] in ("a", "b")}
+    by_rank = lambda k: (-want[k], k[1], k[2])
+    first = {k for a in ("a", "é") for o in range(-window, window + 1) for k in sorted((k for k in want if k[0] == a and k[2] == o and k[1]), key=by_rank)[:2]}
+    got = run(ct.part_merger(2, 2, ct.list_fronts(first=2, by_offset=True)), asked=asked, near=pa.array(["a", "b", "d", "é"]), directed=True)
+    held = {(r["anchor"], r["neighbor"], r["offset"]): r["observations"] for r in got}
+    assert first <= set(held) and all(want[k] == n for k, n in held.items()) and (parts > 1 or first == set(held))
+    bits = np.zeros(1 << 10, "uint8")
+    bits[crc32(b"b") % (1 << 13) >> 3] |= 1 << (crc32(b"b") & 7)
+    got = run(ct.part_merger(2, 2, ct.list_fronts(asked=bits.tobytes(), mirrored=True)), asked=bits.tobytes(), offsets=False)
+    assert {(r["anchor"], r["neighbor"]): r["observations"] for r in got} == {k: n for k, n in totals.items() if k[0] == "b"}
+    sizes = run(ct.part_sizes(2))
+    assert (sum(r["relations"] for r in sizes), sum(r["pairs"] for r in sizes)) == (len(want), len(totals))
+
+
+def test_many_asked_terms_are_a_bitmap(spark, monkeypatch):
+    """Totals of asked terms do not depend on the bitmap's size; what it lets through goes in the join."""
+    terms = spark.createDataFrame([(["w%d" % (i * j % 17) for j in range(60)],) for i in range(20)], "terms array<string>")
+    asked = spark.createDataFrame([("w3",), ("w5",), ("zz",), (None,)], "anchor string")
+    rows = lambda: sorted(map(tuple, ct.asked_totals(terms, asked).select("anchor", "neighbor", "observations").collect()))
+    wide = rows()
+    assert {r[0] for r in wide} == {"w3", "w5"}
+    monkeypatch.setattr(ct, "ASKED_BITS", 8)
+    assert rows() == wide
+
+
 def test_relations_are_counted_before_the_exchange(spark):
     """What is exchanged follows chunks and parts, not pairs; the query needs no index for it."""
     df = spark.createDataFrame([(["w%d" % (i * j % 17) for j in range(200)],) for i in range(40)], "terms array<string>")
