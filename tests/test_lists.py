@@ -484,3 +484,24 @@ def test_buckets_follow_bytes(spark, tmp_path):
     files = [f.stat().st_size for f in (tmp_path / "buckets").glob("part-*")]
     assert sum(files) > 160 << 20 and len(files) == buckets == -(-sum(f.stat().st_size for f in (tmp_path / "rows").glob("part-*")) // (16 << 20))
     assert max(files) < 32 << 20
+
+
+@pytest.mark.parametrize("pieces", [1_000_000, 0])
+def test_suggestions_are_kept_from_the_edit_distance(spark, monkeypatch, pieces):
+    """Pairs are those of the gestalt ratio however the pieces meet; words of other letters never come to the edit distance."""
+    from difflib import SequenceMatcher
+
+    from citeloom.operators import suggest
+
+    monkeypatch.setattr(suggest, "BROADCAST_PIECES", pieces)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(1, 16)))
+    known = sorted({word() for _ in range(150)})
+    absent = sorted({k[:i] + rng.choice("abcdeéx") + k[i + rng.randint(0, 2):] for k in known for i in [rng.randint(0, len(k))]} - set(known)) + ["ab"]
+    frame = lambda ws: spark.createDataFrame([(w, 1) for w in ws], "anchor string, observations long")
+    pairs = suggest.suggestion_pairs(frame(absent), frame(known))
+    got = {(r.anchor, r.candidate) for r in pairs.collect()}
+    want = {(a, k) for a in absent for k in known if a[0] == k[0] and abs(len(a) - len(k)) <= fv.SUGGEST_LENGTH_GAP
+            and len(a) >= fv.SUGGEST_MIN_CHARS and SequenceMatcher(None, a, k).ratio() >= fv.SUGGEST_MIN_RATIO}
+    assert len(want) > 40 and want <= got
+    assert "bit_count" in plan(pairs) and ("SortMergeJoin" in plan(pairs)) == (pieces == 0)
