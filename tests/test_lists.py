@@ -505,3 +505,18 @@ def test_suggestions_are_kept_from_the_edit_distance(spark, monkeypatch, pieces)
             and len(a) >= fv.SUGGEST_MIN_CHARS and SequenceMatcher(None, a, k).ratio() >= fv.SUGGEST_MIN_RATIO}
     assert len(want) > 40 and want <= got
     assert "bit_count" in plan(pairs) and ("SortMergeJoin" in plan(pairs)) == (pieces == 0)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_phrases_are_met_as_numbers(spark, index_of, monkeypatch, small):
+    """Rows between the steps of a phrase search hold a block and an entry's number; entries may share their source index."""
+    written, keep = {}, cx.materialise
+    monkeypatch.setattr(cx, "materialise", lambda df, name: written.setdefault(name, df.columns) and keep(df, name))
+    built = index_of("the crane lifts cargo here", "no crane lifts", "cargo crane  lifts cargo")
+    entries = spark.createDataFrame([(7, "crane lifts", "c", "low"), (7, "lifts cargo", "d", "high"), (8, "cargo", None, "low")],
+                                    "source_index int, surface string, class string, severity string")
+    hits = cx.phrase_hits(built.blocks, built.terms, wl.clean_watchlist(entries), small=small)
+    assert rows_of(hits, "source_index", "surface", "class", "block_ordinal", "positions") == sorted([
+        (7, "crane lifts", "c", 0, [0]), (7, "crane lifts", "c", 1, [1]), (7, "crane lifts", "c", 2, [1]), (7, "lifts cargo", "d", 0, [1]),
+        (7, "lifts cargo", "d", 2, [2]), (8, "cargo", None, 0, [2]), (8, "cargo", None, 2, [0, 3])], key=repr)
+    assert written["pairs"] == written["phrases"] == ["block_ordinal", "entry"]
