@@ -520,3 +520,19 @@ def test_phrases_are_met_as_numbers(spark, index_of, monkeypatch, small):
         (7, "crane lifts", "c", 0, [0]), (7, "crane lifts", "c", 1, [1]), (7, "crane lifts", "c", 2, [1]), (7, "lifts cargo", "d", 0, [1]),
         (7, "lifts cargo", "d", 2, [2]), (8, "cargo", None, 0, [2]), (8, "cargo", None, 2, [0, 3])], key=repr)
     assert written["pairs"] == written["phrases"] == ["block_ordinal", "entry"]
+
+
+def test_both_passes_share_their_clouds(spark, idx, monkeypatch):
+    """Pairs are counted once for the seeds of both passes; each pass's frames are those of its own seeds' clouds."""
+    from citeloom.plans import frames as fp
+
+    counted, cloud = [], fp.seed_cloud
+    monkeypatch.setattr(fp, "seed_cloud", lambda *a, **k: counted.append(1) or cloud(*a, **k))
+    rows = [("a", "crane wak", "cargo"), ("b", "cargo wal", "harbor whn"), ("c", "harbor", None)]
+    asked = spark.createDataFrame(rows, "question_id string, question string, mirror_starter string")
+    columns = ("question_id", "frame_rank", "block_ordinal", "score", "anchor_windows")
+    found = fp.speak(idx, asked).frames
+    assert len(counted) == 1
+    plain = fp.speak(idx, asked.drop("mirror_starter")).frames
+    assert rows_of(found.filter(F.col("pass") == "question"), *columns) == rows_of(plain, *columns)
+    assert {r[0] for r in found.filter(F.col("pass") != "question").select("question_id").collect()} == {"a", "b"}
